@@ -3,7 +3,7 @@
 Verdict of the method, for texts of MIN_WORDS words at least: the text's distributions over character classes, and over
 the common words of a language, are compared with references. A reference is the mean distribution of the documents of
 a language (of MIN_WORDS words at least, with few symbols); its common words are the COMMON most frequent words of at
-most COMMON_LENGTH letters. The least divergence over all languages counts, so a wrong or missing lang does no harm.
+most COMMON_LENGTH bytes. The least divergence over all languages counts, so a wrong or missing lang does no harm.
 The divergence of common words is judged only if the text has MIN_COMMON_WORDS of them; a text with fewer is judged by
 the share of its words that are common alone. All statistics cover all documents; only the references (a few numbers
 for each language) reach the driver.
@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import BLANKS, table
+from tideline.llm.common import BLANKS, WORD, table
 
 MIN_WORDS = 50
-SYMBOLS = "#*$%&|<>"
-COMMON = 24
+SYMBOLS = "[#*$%&|<>]"
+COMMON = 16
 COMMON_LENGTH = 5
 MIN_COMMON_WORDS = 12
 #: References: the languages with the most documents.
@@ -31,78 +31,84 @@ LANGUAGES = 32
 MOST_CLASS = 0.06
 MOST_COMMON = 0.5
 #: Least accepted share of common words, as a part of the language's own share.
-LEAST_COMMON = 0.15
-_PUNCTUATION = ".,;:!?\"()[]{}"
-_LOWER = "abcdefghijklmnopqrstuvwxyz"
+LEAST_COMMON = 0.22
 _CLASSES = ("lower", "upper", "digit", "blank", "symbol", "mark", "other")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def split_words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
+    """Through single-character replacements and a plain split, which need no regular expression."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _special(text: Column) -> Column:
+    """A text without small letters and blanks: a small part of it, for the counts by class."""
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz" + BLANKS, "")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``_words`` to docs(text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    docs = docs.withColumn("_text", text).withColumn("_words", split_words(F.col("_text"))).withColumn("_lines", lines)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    docs = docs.withColumn("_text", text).withColumn("_words", split_words(F.col("_text"))).withColumn("_lines", lines).withColumn("_special", _special(F.col("_text")))
     w = F.col("_words")
     docs = docs.withColumns({
         "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.translate(F.col("_text"), BLANKS, "")).cast("long"),
-        "n_symbols": _without(F.col("_text"), SYMBOLS).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": _count(F.col("_special"), SYMBOLS),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
-    # windows (hash, place), sorted: equal neighbours are repeats
-    grams = F.when(F.size(w) >= 3, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda a, i: F.struct(F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    docs = docs.withColumn("_grams", F.sort_array(grams))
+    # most texts repeat no window; only for the others are the windows sorted as (hash, place), where equal neighbours are repeats
+    hashes = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
+    docs = docs.withColumn("_hashes", F.when(F.size(w) >= 3, hashes))
+    some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    docs = docs.withColumn("_grams", F.when(some, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     g = F.col("_grams")
     again = F.filter(g, lambda x, i: (F.get(g, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(g, i - 1)["h"] == x["h"])))
     docs = docs.withColumn("_again", F.sort_array(F.transform(again, lambda x: x["i"])))
     a = F.col("_again")
     # a window adds three words, or as many as lie beyond the window before it
     covered = F.aggregate(F.transform(a, lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get(a, i - 1)))), F.lit(0), lambda s, x: s + x)
-    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_lines", "_grams", "_again")
+    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_lines", "_hashes", "_grams", "_again")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """Adds ``_classes``: characters by class, in the order of _CLASSES."""
-    t = F.col("_text")
-    docs = docs.withColumns({"_lower": _without(t, _LOWER), "_upper": _without(t, _LOWER.upper()), "_digit": _without(t, "0123456789"), "_mark": _without(t, _PUNCTUATION), "_length": F.length(t)})
-    blank = F.col("_length") - F.col("word_chars")
-    known = [F.col("_lower"), F.col("_upper"), F.col("_digit"), blank, F.col("n_symbols"), F.col("_mark")]
+    """Adds ``_shares``: of characters by class, in the order of _CLASSES. ``other`` counts the bytes that text has beyond its characters."""
+    t = F.col("_special")
+    docs = docs.withColumns({"_upper": _count(t, "[A-Z]"), "_digit": _count(t, "[0-9]"), "_mark": _count(t, "[.,;:!?\"'()\\[\\]{}]"), "_length": F.length("_text")})
+    other = F.octet_length("_text") - F.col("_length")
+    known = [F.col("_upper"), F.col("_digit"), F.col("_length") - F.col("word_chars"), F.col("n_symbols"), F.col("_mark"), other]
     rest = F.col("_length")
     for c in known:
         rest = rest - c
-    return docs.withColumn("_classes", F.array(*[c.cast("double") for c in [*known, rest]])).drop("_lower", "_upper", "_digit", "_mark", "_length")
-
-
-def _plain_words(text: Column) -> Column:
-    return split_words(F.translate(F.lower(text), _PUNCTUATION, " " * len(_PUNCTUATION)))
+    docs = docs.withColumn("_counts", F.array(*[c.cast("double") for c in [F.greatest(rest, F.lit(0)), *known]]))
+    return docs.withColumn("_shares", F.transform("_counts", _over(F.greatest(F.col("_length"), F.lit(1))))).drop("_upper", "_digit", "_mark", "_length", "_counts")
 
 
 def references(docs: DataFrame) -> list[dict]:
     """For each language: lang, classes (shares), words, shares of these among the common words, and their share of all words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    fit = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("_text")).where("lang is not null")
-    fit = fit.withColumns({"word_chars": F.length(F.translate(F.col("_text"), BLANKS, "")), "n_symbols": _without(F.col("_text"), SYMBOLS), "_plain": _plain_words(F.col("_text"))})
-    fit = fit.where((F.size("_plain") >= MIN_WORDS) & (F.col("n_symbols") * 50 < F.col("word_chars")))
-    shares = _classes(fit).withColumn("_shares", F.transform("_classes", lambda c: c / F.length("_text")))
-    means = shares.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.col("_shares")[i]).alias(k) for i, k in enumerate(_CLASSES)]).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
-    short = fit.select("lang", F.explode(F.filter("_plain", lambda w: F.length(w) <= COMMON_LENGTH)).alias("w"))
-    counts = short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    words = {r["lang"]: r["top"] for r in _top(counts).collect()}
-    total = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.sum(F.size("_plain")).alias("n")).collect()}
+    fit = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("_text")).where("lang is not null").withColumn("_words", split_words(F.col("_text"))).withColumn("_special", _special(F.col("_text")))
+    fit = fit.withColumns({"word_chars": F.length(F.array_join("_words", "")), "n_symbols": _count(F.col("_special"), SYMBOLS)})
+    few = (F.size("_words") >= MIN_WORDS) & (F.col("n_symbols") * 50 < F.col("word_chars"))
+    # shares and short words of the fit documents in one row each; the flag keeps the costly columns from being computed twice
+    fit = _classes(fit).withColumn("few", few)
+    stats = fit.select("lang", F.when(F.col("few"), F.col("_shares")).alias("s"), F.size("_words").alias("n")).where("s is not null")
+    means = stats.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"), *[F.avg(F.col("s")[i]).alias(k) for i, k in enumerate(_CLASSES)]).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
+    short = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(split_words(text)).alias("w")).where(f"lang is not null and octet_length(w) <= {COMMON_LENGTH}")
+    words = {r["lang"]: r["top"] for r in _top(short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))).collect()}
     out = []
     for r in means:
         common = words.get(r["lang"], [])
         n = sum(x["n"] for x in common)
         if n:
-            out.append({"lang": r["lang"], "classes": [float(r[k]) for k in _CLASSES], "words": [x["w"] for x in common], "shares": [x["n"] / n for x in common], "share": n / total[r["lang"]]})
+            out.append({"lang": r["lang"], "classes": [float(r[k]) for k in _CLASSES], "words": [x["w"] for x in common], "shares": [x["n"] / n for x in common], "share": n / max(1, r["words"])})
     return out
 
 
@@ -139,9 +145,7 @@ def judge(docs: DataFrame, refs: list[dict], keep: list[str]) -> DataFrame:
         none = F.lit(None).cast("double")
         return base.select(*keep, *counts, none.alias("class_divergence"), none.alias("common_divergence"), none.alias("common_share"), (~F.col("base_failed")).alias("kept"))
     common = sorted({w for r in refs for w in r["words"]})
-    base = _classes(base).withColumn("_shares", F.transform("_classes", lambda c: c / F.greatest(F.length("_text"), F.lit(1))))
-    base = base.withColumn("_plain", _plain_words(F.col("_text"))).withColumn("_common", F.filter("_plain", lambda w: w.isin(common)))
-    base = base.withColumn("_n", F.size("_plain"))
+    base = _classes(base).withColumn("_common", F.filter("_words", lambda w: w.isin(common)))
     for i, r in enumerate(refs):
         found = F.array(*[F.size("_common") - F.size(F.array_remove("_common", w)) for w in r["words"]])
         base = base.withColumn(f"_f{i}", F.transform(found, lambda c: c.cast("double")))
@@ -151,7 +155,7 @@ def judge(docs: DataFrame, refs: list[dict], keep: list[str]) -> DataFrame:
         base = base.withColumn(f"_r{i}", F.struct(
             F.coalesce(F.when(enough, _divergence(shares, _floats(r["shares"]))), F.lit(1.0)).alias("common"),
             _divergence(F.col("_shares"), _floats(r["classes"])).alias("classes"),
-            (F.col(f"_s{i}") / F.greatest(F.col("_n"), F.lit(1)) / r["share"]).alias("share"), enough.alias("enough")))
+            (F.col(f"_s{i}") / F.greatest(F.col("n_words"), F.lit(1)) / r["share"]).alias("share"), enough.alias("enough")))
     # the language whose common words take the largest part of the text, in terms of its own share
     best = F.array_max(F.array(*[F.struct(F.col(f"_r{i}")["share"].alias("a"), F.col(f"_r{i}").alias("r")) for i in range(len(refs))]))["r"]
     base = base.withColumn("_best", best)
