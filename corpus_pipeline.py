@@ -1,9 +1,71 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: quality rules, n-gram Jaccard join, substring dedup, benchmark decontamination, source mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and rereads it as the next
+one's docs. All but the last return the columns of ``documents``; n_chars is that of the text they return. Extra columns of
+the input are passed through by no stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import decontaminate, jaccard, mixing, quality, substring
+from tideline.llm.common import Scratch, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    docs = docs.select(*COLUMNS)
+    return quality.judge(docs, quality.references(docs), COLUMNS).where("kept").select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each similarity class: the one with the least doc_id; documents without words are classes of their own."""
+    docs = docs.select(*COLUMNS)
+    lost = jaccard.similarity_classes(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that repeat a passage of a document of smaller doc_id; texts that lose nothing stay as they are, emptied ones go."""
+    docs = docs.select(*COLUMNS)
+    scratch = Scratch(spark)
+    cut = scratch.keep(substring.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("d"), F.col("kept").cast("string").alias("kept")).dropDuplicates(["d"]), "cut")
+    out = docs.join(cut, F.col("doc_id") == F.col("d"), "left").withColumn("text", F.coalesce("kept", "text")).where("kept is null or kept <> ''")
+    return out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    docs = docs.select(*COLUMNS)
+    hit = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: every document with its number of copies, 0 included, and the words that these take."""
+    out = mixing.mix(mixing.numbered(mixing.sizes(docs)))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+]
+#: SQL can express neither the classes of the Jaccard join nor the random rounding; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, over all documents."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
