@@ -97,15 +97,14 @@ def references(docs: DataFrame) -> list[dict]:
     fit = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("_text")).where("lang is not null").withColumn("_words", split_words(F.col("_text"))).withColumn("_special", _special(F.col("_text")))
     fit = fit.withColumns({"word_chars": F.length(F.array_join("_words", "")), "n_symbols": _count(F.col("_special"), SYMBOLS)})
     few = (F.size("_words") >= MIN_WORDS) & (F.col("n_symbols") * 50 < F.col("word_chars"))
-    # shares and short words of the fit documents in one row each; the flag keeps the costly columns from being computed twice
-    fit = _classes(fit).withColumn("few", few)
-    stats = fit.select("lang", F.when(F.col("few"), F.col("_shares")).alias("s"), F.size("_words").alias("n")).where("s is not null")
-    means = stats.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"), *[F.avg(F.col("s")[i]).alias(k) for i, k in enumerate(_CLASSES)]).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
+    # no filter: it would be pushed down, and the costly columns computed twice
+    stats = _classes(fit).select("lang", F.when(few, F.struct(F.col("_shares").alias("s"), F.size("_words").alias("n"))).alias("x")).select("lang", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
+    means = stats.groupBy("lang").agg(F.count("n").alias("docs"), F.sum("n").alias("words"), *[F.avg(F.col("s")[i]).alias(k) for i, k in enumerate(_CLASSES)]).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
     short = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(split_words(text)).alias("w")).where(f"lang is not null and octet_length(w) <= {COMMON_LENGTH}")
     words = {r["lang"]: r["top"] for r in _top(short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))).collect()}
     out = []
     for r in means:
-        common = words.get(r["lang"], [])
+        common = words.get(r["lang"], []) if r["docs"] else []
         n = sum(x["n"] for x in common)
         if n:
             out.append({"lang": r["lang"], "classes": [float(r[k]) for k in _CLASSES], "words": [x["w"] for x in common], "shares": [x["n"] / n for x in common], "share": n / max(1, r["words"])})
