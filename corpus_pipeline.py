@@ -19,7 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     docs = docs.select(*COLUMNS)
-    return quality.judge(docs, quality.references(docs), COLUMNS).where("kept").select(*COLUMNS)
+    judged = quality.judge(docs, quality.references(docs), COLUMNS).select(*COLUMNS, "kept", F.monotonically_increasing_id().alias("place"))
+    # "place" keeps the filter above the projections, whose expressions would be copied into it many times over
+    return judged.where("kept and place >= 0").select(*COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
