@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,16 +71,18 @@ def hash64(text: str) -> int:
     return h
 
 
-@F.pandas_udf("decimal(20,0)")
-def symbol_hash(text: pd.Series) -> pd.Series:
+def symbol_hash(text: Column | str) -> Column:
+    """hash64 as DECIMAL(20,0), a vectorised function: SQL integers can't wrap around at 64 bits."""
     from decimal import Decimal
 
-    return text.map(lambda x: None if x is None else Decimal(hash64(x)))
+    run = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else Decimal(hash64(x))), "decimal(20,0)", F.PandasUDFType.SCALAR)
+    return run(text)
 
 
-@F.pandas_udf("long")
-def market_id(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else (hash64(x) >> 32) ^ (hash64(x) & 0xFFFFFFFF))
+def market_id(text: Column | str) -> Column:
+    """The upper half of hash64, exclusive-or the lower one."""
+    run = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else (hash64(x) >> 32) ^ (hash64(x) & 0xFFFFFFFF)), "long", F.PandasUDFType.SCALAR)
+    return run(text)
 
 
 def version_id(symbol_id: Column, valid_from: Column, valid_until: Column) -> Column:
