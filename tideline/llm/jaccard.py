@@ -37,6 +37,8 @@ SHINGLE = 5
 BUCKETS = 1 << 22
 STAR_ROUNDS = 2
 BLOCK = 64
+#: Set signatures (8 bytes each) that are broadcast to pick texts; more go by a shuffle.
+BROADCAST_SETS = 500_000
 
 
 def sets_of(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
@@ -134,13 +136,24 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LIST = "token long, sig long, n int, pos int"
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for b in batches:
         at, data = buffers(b["text"])
         yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "z": pa.array([press.compress(data[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)], pa.binary())})
 
 
+def _with_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            b = batch.slice(lo, 256)
+            texts = [open_.decompress(x.as_py()) for x in b["z"]]
+            at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            sets = sets_of(at, np.frombuffer(b"".join(texts), np.uint8))
+            yield pa.RecordBatch.from_pydict({"sig": b["sig"], "z": b["z"], "sketch": pa.array([_sketch(s) for s in sets], pa.binary())})
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, na, nb, za, zb): the exact size of the intersection."""
     open_ = zstandard.ZstdDecompressor()
@@ -166,22 +179,12 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """Parities of a set's hashes in a power-of-two number of bits, 4 n at least: the bits in which two sketches differ are
+    """Parities of a set's hashes in a power-of-two number of bits, n at least: the bits in which two sketches differ are
     at most |x - y| + |y - x|. A sketch of half the length is the exclusive or of the halves."""
-    bits = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_ = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            b = batch.slice(lo, 256)
-            texts = [open_.decompress(x.as_py()) for x in b["z"]]
-            at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"sig": b["sig"], "sketch": pa.array([_sketch(s) for s in sets_of(at, np.frombuffer(b"".join(texts), np.uint8))], pa.binary())})
-
-
 class _Parities:
     """The sketches of a list's sets by length, whole and folded once."""
 
@@ -289,12 +292,17 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     # texts of the sets in lists, compressed: one document stands for a set
     heads = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     wanted = heads.join(lists.select("sig").distinct(), "sig", "left_semi")
-    texts = scratch.keep(docs.mapInArrow(_texts, "doc_id long, z binary").join(wanted, "doc_id").dropDuplicates(["sig"]).select("sig", "z"), "texts")
+    texts = scratch.keep(docs.mapInArrow(_squeezed, "doc_id long, z binary").join(wanted, "doc_id").groupBy("sig").agg(F.min("z").alias("z")).mapInArrow(_with_sketches, "sig long, z binary, sketch binary"), "texts")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, na, nb) with their intersection."""
-        left = texts.select(F.col("sig").alias("a"), F.col("z").alias("za"))
-        right = texts.select(F.col("sig").alias("b"), F.col("z").alias("zb"))
+        """pairs(a, b, na, nb) with their intersection. Only the texts of their sets are dealt out."""
+        pairs = scratch.keep(pairs, "pairs")
+        needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        if needed.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+            needed = F.broadcast(needed)
+        own = texts.select("sig", "z").join(needed, "sig", "left_semi")
+        left = own.select(F.col("sig").alias("a"), F.col("z").alias("za"))
+        right = own.select(F.col("sig").alias("b"), F.col("z").alias("zb"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "za", "zb")
         return both.mapInArrow(_overlaps, "a long, b long, na int, nb int, common int")
 
@@ -315,8 +323,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     now = _with_labels(lists, labels)
     mixed = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     rest = now.join(mixed, "token", "left_semi").select("token", "sig", "n", "pos", "label")
-    sketches = texts.join(rest.select("sig").distinct(), "sig", "left_semi").mapInArrow(_sketches, "sig long, sketch binary")
-    rest = rest.join(sketches, "sig")
+    rest = rest.join(texts.select("sig", "sketch"), "sig")
     open_ = rest.repartition(int(parts), "token").sortWithinPartitions("token", "n", "sig").mapInArrow(_cross, "a long, b long").distinct()
     known = answers.select("a", "b").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b")))
     open_ = open_.join(known, ["a", "b"], "left_anti")
