@@ -155,7 +155,7 @@ query("snapshot_interval", _RM + _CHAIN + f" SELECT {COLS} FROM m WHERE seq IN (
 query("refinery_stream", _RM + _CHAIN + ", o AS (SELECT seq, market_id, 1 AS part FROM m UNION ALL SELECT seq, market_id, 0 FROM m WHERE seq IN (SELECT seq FROM g)) SELECT seq, market_id, part, row_number() OVER (PARTITION BY market_id ORDER BY seq, part) - 1 AS out_seq FROM o")(lambda spark, sf_dir: snapshots.refine(src.messages(spark, sf_dir), _DAY).select("seq", "market_id", "part", "out_seq"))
 over_messages("snapshot_latest_before", "SELECT market_id, max(seq) AS seq FROM m WHERE ev = 1 AND seq <= 7000 GROUP BY 1", lambda m: snapshots.latest_before(m.where("ev = 1"), 7000).select("market_id", "seq"))
 over_messages("snapshot_retention", "SELECT seq, market_id FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY seq DESC) AS k, sum(size) OVER (PARTITION BY market_id ORDER BY seq DESC) AS b FROM m WHERE ev = 1) WHERE k <= 20 AND b <= 60000", lambda m: snapshots.retained(m.where("ev = 1"), "market_id", max_count=20, max_bytes=60000).select("seq", "market_id"))
-over_messages("l2_warm_start", _BOOK.format(cut="AND market_id = 3 AND seq <= 6000") + "SELECT * FROM b WHERE market_id = 3", lambda m: book_l2.warm_start(m, m.where("ev = 1 and market_id = 3 and seq <= 6000"), 3, 6000, "seq"))
+over_messages("l2_warm_start", _BOOK.format(cut="AND market_id = 3 AND seq <= (SELECT min(seq) FROM m WHERE market_id = 3 AND ev IN (1, 2) AND seq >= 6000)") + "SELECT * FROM b WHERE market_id = 3", lambda m: book_l2.warm_start(m, m.where("ev = 1 and market_id = 3 and seq <= 6000"), 3, 6000, "seq"))
 
 # ---------------------------------------------------------------- L3: orders add, lineitems trade
 
