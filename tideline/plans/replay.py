@@ -84,7 +84,7 @@ def queue_sink(path: str) -> Callable[[DataFrame], None]:
 
 
 def vec_sink(out: list) -> Callable[[DataFrame], None]:
-    return lambda df: out.extend(df.toLocalIterator())
+    return lambda df: out.extend(df.collect())
 
 
 def replay_by_symbol(df: DataFrame, handler: Callable, schema: str, symbol: str = "market_id", order: str = "seq") -> DataFrame:
