@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import WORD, Scratch, table
 
+BLANK = r"[\x20\x09-\x0D]"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
@@ -164,8 +165,9 @@ def mix(sized: DataFrame) -> DataFrame:
 
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, row, source, size); row is a hash of the text, with equal rows numbered."""
-    blank = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\f\r", "     ")
-    size = F.size(F.filter(F.split(blank, " "), lambda w: w != "")).cast("long")
+    # one mark for each word, then none for the blanks that end the text: no array of words is built
+    marks = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANK + "*" + WORD, "w")
+    size = F.length(F.regexp_replace(marks, BLANK + "+", "")).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("source").cast("string").alias("source"), size.alias("size"))
 
 
