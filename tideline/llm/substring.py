@@ -12,8 +12,9 @@ windows of an anchor's content are a group of suffixes whose prefixes (from the
 3. for the others, the words around the anchor (all windows that name it) are dealt by content. A task holds whole
    groups of a bounded size and names the nodes of their suffix subtrees at depths 1, 2, 4, ... 32 and 50 from the
    ranks of the two halves; suffixes with one node at depth 50 start the same window, and its least doc_id decides;
-4. groups of more than GROUP occurrences don't fit one task. Their prefix is lengthened to the whole window: each window
-   goes by the 128-bit digest of its words, the least doc_id of each is aggregated before the shuffle, and joined back;
+4. groups of more than GROUP occurrences don't fit one task. Occurrences whose words around the anchor are all equal
+   are one to begin with: it stands in the least doc_id, the others are covered. Its prefix is lengthened to the whole
+   window: each goes by the 128-bit digest of its words, the least doc_id of each is aggregated and joined back;
 5. the covered ranges of words are joined to the documents, merged and cut out.
 
 A null text has no words. Texts shorter than a window lose nothing. Rows of one doc_id count as one document's: a window
@@ -217,10 +218,16 @@ def covered_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     per_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("content", "hot", "start", "windows", "anchor")).alias("found"))
     contexts = scratch.keep(docs.mapInArrow(_squeezed, "doc_id long, row long, z binary").join(per_doc, ["doc_id", "row"]).mapInArrow(_contexts, CONTEXT), "contexts")
     subtrees = contexts.where("not hot").repartition(parts, "content").sortWithinPartitions("content").mapInArrow(_subtrees, RANGE)
-    windows = contexts.where("hot").mapInArrow(_long_prefixes, "doc_id long, row long, digest binary, lo int")
+    # contexts of equal words: all windows of those after the least doc_id are covered by it, only that one's own go on
+    hot = contexts.where("hot").withColumn("same", F.unhex(F.md5("words")))
+    firsts = hot.groupBy("content", "same").agg(F.min("doc_id").alias("first_doc"))
+    first = F.col("doc_id") == F.col("first_doc")
+    hot = scratch.keep(hot.join(firsts, ["content", "same"]).select("doc_id", "row", "start", "windows", first.alias("first"), F.when(first, F.col("words")).alias("words")), "hot")
+    copies = hot.where("not first").select("doc_id", "row", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + WINDOW - 1).cast("int").alias("hi"))
+    windows = hot.where("first").mapInArrow(_long_prefixes, "doc_id long, row long, digest binary, lo int")
     least = windows.groupBy("digest").agg(F.min("doc_id").alias("least"))
     longer = windows.join(least, "digest").where("doc_id > least").select("doc_id", "row", "lo", (F.col("lo") + WINDOW).cast("int").alias("hi"))
-    return subtrees.unionByName(longer)
+    return subtrees.unionByName(copies).unionByName(longer)
 
 
 def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
