@@ -110,6 +110,23 @@ def test_quality(docs, none):
     assert quality.judge(none, quality.references(none), ["doc_id"]).count() == 0
 
 
+def test_quality_references_of_every_language(spark, monkeypatch):
+    rng = random.Random(2)
+    make = lambda k: " ".join(rng.choice([f"f{k}{x}" for x in "abcd"]) if rng.random() < 0.5 else f"thing{rng.randrange(10**6)}" for _ in range(80))
+    rows = [(10 * k + i, make(k), f"l{k:02}") for k in range(40) for i in range(1 if k == 39 else 2)]
+    rows += [(1000, " ".join(f"x{i}y" for i in range(80)), "l01"), (1001, None, "l01"), (1002, make(7), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    joined = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs), ["doc_id"]).collect()}
+    assert {i for i, r in joined.items() if not r["kept"]} == {1000, 1001}
+    monkeypatch.setattr(quality, "LANGUAGES", 100)
+    inline = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs), ["doc_id"]).collect()}
+    assert inline.keys() == joined.keys()
+    for i, r in joined.items():
+        assert [pytest.approx(x) for x in r] == list(inline[i])
+    bare = quality.references(docs).where("lang <> 'l39'")
+    assert {r["kept"] for r in quality.judge(docs, bare, ["doc_id"]).where("doc_id = 390").collect()} == {True}
+
+
 def test_mixing(spark, docs, none):
     rows = [(i, "w " * (i % 9), ["x", "y", "z", None][i % 4]) for i in range(400)] + [(5, "w " * 5, "y")] * 3
     sized = mixing.numbered(mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")))

@@ -3,14 +3,15 @@
 Verdict of the method, for texts of MIN_WORDS words at least: the text's distributions over character classes, and over
 the common words of a language, are compared with references. A reference is the mean distribution of the documents of
 a language (of MIN_WORDS words at least, with few symbols); its common words are the COMMON most frequent words of at
-most COMMON_LENGTH bytes. The least divergence over all languages counts, so a wrong or missing lang does no harm.
+most COMMON_LENGTH bytes. A text is kept if the reference of any language accepts it, so a wrong or missing lang does no
+harm; a text that holds no common word of any reference has no divergences.
 The divergence of common words is judged only if the text has MIN_COMMON_WORDS of them; a text with fewer is judged by
-the share of its words that are common alone. All statistics cover all documents; only the references (a few numbers
-for each language) reach the driver.
+the share of its words that are common alone. All statistics cover all documents, and every language has a reference:
+up to LANGUAGES of them reach the driver, more are joined as a table.
 
 Words in repeated 3-word windows are found by sorting the windows' 64-bit hashes within the row, whatever its length.
-A null text counts as empty: n_words 0, base_failed. Repeated rows are judged alike, other columns are ignored. Without a
-document fit for a reference (or with no lang at all) the base rules decide alone.
+A null text counts as empty: n_words 0, base_failed. Repeated rows are judged alike, other columns are ignored. The base
+rules decide alone for the documents of a language without a reference, and for all if there is no reference.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import BLANKS, WORD, table
+from tideline.llm.common import BLANKS, WORD, Scratch, table
 
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
 COMMON = 16
 COMMON_LENGTH = 5
 MIN_COMMON_WORDS = 12
-#: References: the languages with the most documents.
+#: References that are written into the plan as literals; more are joined as a table, with the same results.
 LANGUAGES = 32
 #: Largest accepted divergences (bits): of character classes, of common words.
 MOST_CLASS = 0.06
@@ -91,24 +92,20 @@ def _classes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_shares", F.transform("_counts", _over(F.greatest(F.col("_length"), F.lit(1))))).drop("_upper", "_digit", "_mark", "_length", "_counts")
 
 
-def references(docs: DataFrame) -> list[dict]:
-    """For each language: lang, classes (shares), words, shares of these among the common words, and their share of all words."""
+def references(docs: DataFrame) -> DataFrame:
+    """For each language that has one: lang, classes (shares), words, shares of these among the common words, and their share of all words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     fit = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("_text")).where("lang is not null").withColumn("_words", split_words(F.col("_text"))).withColumn("_special", _special(F.col("_text")))
     fit = fit.withColumns({"word_chars": F.length(F.array_join("_words", "")), "n_symbols": _count(F.col("_special"), SYMBOLS)})
     few = (F.size("_words") >= MIN_WORDS) & (F.col("n_symbols") * 50 < F.col("word_chars"))
     # no filter: it would be pushed down, and the costly columns computed twice
     stats = _classes(fit).select("lang", F.when(few, F.struct(F.col("_shares").alias("s"), F.size("_words").alias("n"))).alias("x")).select("lang", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
-    means = stats.groupBy("lang").agg(F.count("n").alias("docs"), F.sum("n").alias("words"), *[F.avg(F.col("s")[i]).alias(k) for i, k in enumerate(_CLASSES)]).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
+    means = stats.groupBy("lang").agg(F.count("n").alias("docs"), F.sum("n").alias("total"), F.array(*[F.avg(F.col("s")[i]) for i in range(len(_CLASSES))]).alias("classes")).where("docs > 0")
     short = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(split_words(text)).alias("w")).where(f"lang is not null and octet_length(w) <= {COMMON_LENGTH}")
-    words = {r["lang"]: r["top"] for r in _top(short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))).collect()}
-    out = []
-    for r in means:
-        common = words.get(r["lang"], []) if r["docs"] else []
-        n = sum(x["n"] for x in common)
-        if n:
-            out.append({"lang": r["lang"], "classes": [float(r[k]) for k in _CLASSES], "words": [x["w"] for x in common], "shares": [x["n"] / n for x in common], "share": n / max(1, r["words"])})
-    return out
+    top = _top(short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))).withColumn("n", F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    shares = F.transform("top", lambda x: x["n"] / F.col("n"))
+    made = means.join(top, "lang").select("lang", "classes", F.col("top.w").alias("words"), shares.alias("shares"), (F.col("n") / F.col("total")).alias("share"))
+    return Scratch(docs.sparkSession).keep(made, "references")
 
 
 def _top(counts: DataFrame) -> DataFrame:
@@ -134,33 +131,68 @@ def _floats(xs: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in xs])
 
 
-def judge(docs: DataFrame, refs: list[dict], keep: list[str]) -> DataFrame:
+def _verdict(found: Column, shares: Column, classes: Column, share: Column, text: Column) -> Column:
+    """Of a text with these counts of a reference's common words: the reference's verdict, to be ordered; null if it has none of them."""
+    total = F.aggregate(found, F.lit(0.0), lambda s, x: s + x)
+    mine = F.transform(found, _over(F.greatest(total, F.lit(1.0))))
+    enough = total >= MIN_COMMON_WORDS
+    common = F.coalesce(F.when(enough, _divergence(mine, shares)), F.lit(1.0))
+    r = F.struct((total / F.greatest(F.col("n_words"), F.lit(1)) / share).alias("share"), common.alias("common"), _divergence(text, classes).alias("classes"), enough.alias("enough"))
+    return F.when(total > 0, r)
+
+
+def _good(r: Column) -> Column:
+    return (r["classes"] <= MOST_CLASS) & (r["share"] >= LEAST_COMMON) & (~r["enough"] | (r["common"] <= MOST_COMMON))
+
+
+def _ordered(r: Column) -> Column:
+    """A reference that accepts the text goes before all others, so that further references never reject it."""
+    return F.when(r.isNotNull(), F.struct(_good(r).alias("good"), r.alias("r")))
+
+
+def _nearest_inline(base: DataFrame, refs: list[dict]) -> DataFrame:
+    """Adds ``_best``, with the references as literals."""
+    common = sorted({w for r in refs for w in r["words"]})
+    base = base.withColumn("_common", F.filter("_words", lambda w: w.isin(common)))
+    for i, r in enumerate(refs):
+        found = F.array(*[F.size("_common") - F.size(F.array_remove("_common", w)) for w in r["words"]])
+        base = base.withColumn(f"_f{i}", F.transform(found, lambda c: c.cast("double")))
+        base = base.withColumn(f"_r{i}", _verdict(F.col(f"_f{i}"), _floats(r["shares"]), _floats(r["classes"]), F.lit(float(r["share"])), F.col("_shares")))
+    best = F.array_max(F.array(*[_ordered(F.col(f"_r{i}")) for i in range(len(refs))]))
+    return base.withColumn("_best", best).withColumn("_own", F.col("_lang").isin([r["lang"] for r in refs]))
+
+
+def _nearest_joined(base: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds ``_best`` by a join of each text's distinct words with the references, whatever their number."""
+    # written once: the row numbers must not change between the two reads
+    rows = Scratch(base.sparkSession).keep(base.withColumn("_row", F.monotonically_increasing_id()), "judged")
+    words = rows.select("_row", F.explode("_words").alias("w")).groupBy("_row", "w").agg(F.count(F.lit(1)).alias("n"))
+    places = refs.select("lang", F.posexplode("words").alias("k", "w"))
+    pairs = words.join(places, "w").groupBy("_row", "lang").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    pairs = pairs.join(refs, "lang").join(rows.select("_row", "n_words", "_shares"), "_row")
+    found = F.transform("words", lambda w, k: F.coalesce(F.col("m")[k], F.lit(0)).cast("double"))
+    pairs = pairs.withColumn("_f", found).withColumn("r", _verdict(F.col("_f"), F.col("shares"), F.col("classes"), F.col("share"), F.col("_shares")))
+    best = pairs.groupBy("_row").agg(F.max(_ordered(F.col("r"))).alias("_best"))
+    own = refs.select(F.col("lang").alias("_lang"), F.lit(True).alias("_own"))
+    return rows.join(best, "_row", "left").join(own, "_lang", "left")
+
+
+def judge(docs: DataFrame, refs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, the base counts, base_failed, class_divergence, common_divergence, common_share and kept."""
-    base = base_counts(docs)
+    base = base_counts(docs.withColumn("_lang", F.col("lang").cast("string")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = base.withColumn("base_failed", failed)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    if not refs:
+    some = refs.orderBy("lang").limit(LANGUAGES + 1).collect()
+    if not some:
         none = F.lit(None).cast("double")
         return base.select(*keep, *counts, none.alias("class_divergence"), none.alias("common_divergence"), none.alias("common_share"), (~F.col("base_failed")).alias("kept"))
-    common = sorted({w for r in refs for w in r["words"]})
-    base = _classes(base).withColumn("_common", F.filter("_words", lambda w: w.isin(common)))
-    for i, r in enumerate(refs):
-        found = F.array(*[F.size("_common") - F.size(F.array_remove("_common", w)) for w in r["words"]])
-        base = base.withColumn(f"_f{i}", F.transform(found, lambda c: c.cast("double")))
-        base = base.withColumn(f"_s{i}", F.aggregate(f"_f{i}", F.lit(0.0), lambda s, x: s + x))
-        shares = F.transform(F.col(f"_f{i}"), _over(F.greatest(F.col(f"_s{i}"), F.lit(1.0))))
-        enough = F.col(f"_s{i}") >= MIN_COMMON_WORDS
-        base = base.withColumn(f"_r{i}", F.struct(
-            F.coalesce(F.when(enough, _divergence(shares, _floats(r["shares"]))), F.lit(1.0)).alias("common"),
-            _divergence(F.col("_shares"), _floats(r["classes"])).alias("classes"),
-            (F.col(f"_s{i}") / F.greatest(F.col("n_words"), F.lit(1)) / r["share"]).alias("share"), enough.alias("enough")))
-    # the language whose common words take the largest part of the text, in terms of its own share
-    best = F.array_max(F.array(*[F.struct(F.col(f"_r{i}")["share"].alias("a"), F.col(f"_r{i}").alias("r")) for i in range(len(refs))]))["r"]
-    base = base.withColumn("_best", best)
-    b = F.col("_best")
-    good = (b["classes"] <= MOST_CLASS) & (b["share"] >= LEAST_COMMON) & (~b["enough"] | (b["common"] <= MOST_COMMON))
-    return base.select(*keep, *counts, b["classes"].alias("class_divergence"), F.when(b["enough"], b["common"]).alias("common_divergence"), b["share"].alias("common_share"), (~F.col("base_failed") & good).alias("kept"))
+    base = _classes(base)
+    base = _nearest_inline(base, [r.asDict() for r in some]) if len(some) <= LANGUAGES else _nearest_joined(base, refs)
+    b = F.col("_best")["r"]
+    # the base rules decide alone for a language without a reference
+    good = F.coalesce(F.col("_best")["good"], F.lit(False)) | (F.col("_lang").isNotNull() & ~F.coalesce("_own", F.lit(False)))
+    return base.select(*keep, *counts, b["classes"].alias("class_divergence"), F.when(b["enough"], b["common"]).alias("common_divergence"), F.coalesce(b["share"], F.lit(0.0)).alias("common_share"), (~F.col("base_failed") & good).alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
