@@ -115,18 +115,34 @@ def test_quality_references_of_every_language(spark, monkeypatch):
     make = lambda k: " ".join(rng.choice([f"f{k}{x}" for x in "abcd"]) if rng.random() < 0.5 else f"thing{rng.randrange(10**6)}" for _ in range(80))
     rows = [(10 * k + i, make(k), f"l{k:02}") for k in range(40) for i in range(1 if k == 39 else 2)]
     rows += [(1000, " ".join(f"x{i}y" for i in range(80)), "l01"), (1001, None, "l01"), (1002, make(7), None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = Scratch(spark).keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")
     joined = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs), ["doc_id"]).collect()}
     assert {i for i, r in joined.items() if not r["kept"]} == {1000, 1001}
-    monkeypatch.setattr(quality, "LANGUAGES", 100)
-    inline = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs), ["doc_id"]).collect()}
-    assert inline.keys() == joined.keys()
+    few = docs.where("lang in ('l07', 'l39') or doc_id > 1000")
+    refs = quality.references(few)
+    inline = {r["doc_id"]: r for r in quality.judge(few, refs, ["doc_id"]).collect()}
+    monkeypatch.setattr(quality, "LANGUAGES", 0)
+    joined = {r["doc_id"]: r for r in quality.judge(few, refs, ["doc_id"]).collect()}
+    assert len(joined) == 5 and inline.keys() == joined.keys()
     for i, r in joined.items():
         assert [pytest.approx(x) for x in r] == list(inline[i])
     bare = quality.references(docs).where("lang <> 'l39'")
     assert {r["kept"] for r in quality.judge(docs, bare, ["doc_id"]).where("doc_id = 390").collect()} == {True}
 
 
+def test_quality_common_words_of_any_script(spark):
+    rng = random.Random(4)
+    made = lambda common, share: " ".join(rng.choice(common) if rng.random() < share else f"\u0915\u0924{rng.randrange(10**6)}\u092e" for _ in range(80))
+    rows = [(i, made(["\u0939\u0948\u0902", "\u092e\u0947\u0902", "\u0915\u0947"], 0.4), "hi") for i in range(20)]
+    rows += [(100 + i, made(["-"], 0.01), "rare") for i in range(20)]  # nothing common: no reference
+    rows += [(200 + i, "zz " * 30, "hi") for i in range(100)] + [(300, made(["-"], 0), "hi")]
+    docs = Scratch(spark).keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")
+    refs = quality.references(docs)
+    (ref,) = refs.collect()
+    assert ref["lang"] == "hi" and set(ref["words"][:3]) == {"\u0939\u0948\u0902", "\u092e\u0947\u0902", "\u0915\u0947"} and "zz" not in ref["words"]
+    assert {r["doc_id"] for r in quality.judge(docs, refs, ["doc_id"]).collect() if r["kept"]} == {*range(20), *range(100, 120)}
+
+
 def test_mixing(spark, docs, none):
     rows = [(i, "w " * (i % 9), ["x", "y", "z", None][i % 4]) for i in range(400)] + [(5, "w " * 5, "y")] * 3
     sized = mixing.numbered(mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")))

@@ -2,8 +2,8 @@
 
 Verdict of the method, for texts of MIN_WORDS words at least: the text's distributions over character classes, and over
 the common words of a language, are compared with references. A reference is the mean distribution of the documents of
-a language (of MIN_WORDS words at least, with few symbols); its common words are the COMMON most frequent words of at
-most COMMON_LENGTH bytes. A text is kept if the reference of any language accepts it, so a wrong or missing lang does no
+a language (of MIN_WORDS words at least, with few symbols); its common words are the COMMON most frequent words of these
+documents. It is left out if they are so rare that a clean text of MIN_WORDS words may well hold none. A text is kept if the reference of any language accepts it, so a wrong or missing lang does no
 harm; a text that holds no common word of any reference has no divergences.
 The divergence of common words is judged only if the text has MIN_COMMON_WORDS of them; a text with fewer is judged by
 the share of its words that are common alone. All statistics cover all documents, and every language has a reference:
@@ -24,10 +24,9 @@ from tideline.llm.common import BLANKS, WORD, Scratch, table
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
 COMMON = 16
-COMMON_LENGTH = 5
 MIN_COMMON_WORDS = 12
 #: References that are written into the plan as literals; more are joined as a table, with the same results.
-LANGUAGES = 32
+LANGUAGES = 8
 #: Largest accepted divergences (bits): of character classes, of common words.
 MOST_CLASS = 0.06
 MOST_COMMON = 0.5
@@ -101,11 +100,13 @@ def references(docs: DataFrame) -> DataFrame:
     # no filter: it would be pushed down, and the costly columns computed twice
     stats = _classes(fit).select("lang", F.when(few, F.struct(F.col("_shares").alias("s"), F.size("_words").alias("n"))).alias("x")).select("lang", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
     means = stats.groupBy("lang").agg(F.count("n").alias("docs"), F.sum("n").alias("total"), F.array(*[F.avg(F.col("s")[i]) for i in range(len(_CLASSES))]).alias("classes")).where("docs > 0")
-    short = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(split_words(text)).alias("w")).where(f"lang is not null and octet_length(w) <= {COMMON_LENGTH}")
-    top = _top(short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))).withColumn("n", F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    # outer: no filter on the words is inferred and pushed down
+    words = fit.select("lang", F.explode_outer(F.when(few, F.col("_words"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).where("w is not null")
+    top = _top(words).withColumn("n", F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
     shares = F.transform("top", lambda x: x["n"] / F.col("n"))
     made = means.join(top, "lang").select("lang", "classes", F.col("top.w").alias("words"), shares.alias("shares"), (F.col("n") / F.col("total")).alias("share"))
-    return Scratch(docs.sparkSession).keep(made, "references")
+    # the shortest text must be expected to hold enough common words for one to be the least accepted share
+    return Scratch(docs.sparkSession).keep(made.where(F.col("share") * MIN_WORDS * LEAST_COMMON >= 1), "references")
 
 
 def _top(counts: DataFrame) -> DataFrame:
@@ -131,9 +132,12 @@ def _floats(xs: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in xs])
 
 
-def _verdict(found: Column, shares: Column, classes: Column, share: Column, text: Column) -> Column:
+def _total(found: Column) -> Column:
+    return F.aggregate(found, F.lit(0.0), lambda s, x: s + x)
+
+
+def _verdict(found: Column, total: Column, shares: Column, classes: Column, share: Column, text: Column) -> Column:
     """Of a text with these counts of a reference's common words: the reference's verdict, to be ordered; null if it has none of them."""
-    total = F.aggregate(found, F.lit(0.0), lambda s, x: s + x)
     mine = F.transform(found, _over(F.greatest(total, F.lit(1.0))))
     enough = total >= MIN_COMMON_WORDS
     common = F.coalesce(F.when(enough, _divergence(mine, shares)), F.lit(1.0))
@@ -157,8 +161,10 @@ def _nearest_inline(base: DataFrame, refs: list[dict]) -> DataFrame:
     for i, r in enumerate(refs):
         found = F.array(*[F.size("_common") - F.size(F.array_remove("_common", w)) for w in r["words"]])
         base = base.withColumn(f"_f{i}", F.transform(found, lambda c: c.cast("double")))
-        base = base.withColumn(f"_r{i}", _verdict(F.col(f"_f{i}"), _floats(r["shares"]), _floats(r["classes"]), F.lit(float(r["share"])), F.col("_shares")))
-    best = F.array_max(F.array(*[_ordered(F.col(f"_r{i}")) for i in range(len(refs))]))
+        base = base.withColumn(f"_s{i}", _total(F.col(f"_f{i}")))
+        base = base.withColumn(f"_r{i}", _verdict(F.col(f"_f{i}"), F.col(f"_s{i}"), _floats(r["shares"]), _floats(r["classes"]), F.lit(float(r["share"])), F.col("_shares")))
+        base = base.withColumn(f"_o{i}", _ordered(F.col(f"_r{i}")))
+    best = F.array_max(F.array(*[F.col(f"_o{i}") for i in range(len(refs))]))
     return base.withColumn("_best", best).withColumn("_own", F.col("_lang").isin([r["lang"] for r in refs]))
 
 
@@ -171,7 +177,7 @@ def _nearest_joined(base: DataFrame, refs: DataFrame) -> DataFrame:
     pairs = words.join(places, "w").groupBy("_row", "lang").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
     pairs = pairs.join(refs, "lang").join(rows.select("_row", "n_words", "_shares"), "_row")
     found = F.transform("words", lambda w, k: F.coalesce(F.col("m")[k], F.lit(0)).cast("double"))
-    pairs = pairs.withColumn("_f", found).withColumn("r", _verdict(F.col("_f"), F.col("shares"), F.col("classes"), F.col("share"), F.col("_shares")))
+    pairs = pairs.withColumn("_f", found).withColumn("_s", _total(F.col("_f"))).withColumn("r", _verdict(F.col("_f"), F.col("_s"), F.col("shares"), F.col("classes"), F.col("share"), F.col("_shares")))
     best = pairs.groupBy("_row").agg(F.max(_ordered(F.col("r"))).alias("_best"))
     own = refs.select(F.col("lang").alias("_lang"), F.lit(True).alias("_own"))
     return rows.join(best, "_row", "left").join(own, "_lang", "left")
