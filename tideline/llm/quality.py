@@ -26,7 +26,7 @@ SYMBOLS = "[#*$%&|<>]"
 COMMON = 16
 MIN_COMMON_WORDS = 12
 #: References that are written into the plan as literals; more are joined as a table, with the same results.
-LANGUAGES = 8
+LANGUAGES = 32
 #: Largest accepted divergences (bits): of character classes, of common words.
 MOST_CLASS = 0.06
 MOST_COMMON = 0.5
