@@ -78,6 +78,87 @@ def test_jaccard_near_copies_across_classes(spark):
     assert {r[0]: r[2] for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == label
 
 
+def _brute_classes(rows):
+    """Class ids by brute force: the least id (nulls aside) of each set of rows that links join."""
+    sets = []
+    for _, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    at = list(range(len(rows)))
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                at[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return collections.Counter((d, len(s), least.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+
+
+def _copies(n, seed, edits):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(120)]
+    out = []
+    for i in range(n):
+        w = base[:]
+        for _ in range(rng.randrange(*edits)):
+            w[rng.randrange(len(w))] = f"x{i}{rng.random()}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"HOT": 0}, {"HELD": 16, "SLICE": 9}])
+def test_jaccard_repeated_and_null_ids(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(jaccard, k, v)
+    near = _copies(60, 3, (1, 9)) + _copies(60, 8, (1, 9))
+    rows = [(i % 50, t) for i, t in enumerate(near)] + [(None, near[0] + " tail"), (None, near[1]), (None, "so few"), (7, "so few"), (7, None), (None, None), (None, "")]
+    rows += [(3, near[9])] * 3
+    got = jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(tuple(r) for r in got) == _brute_classes(rows)
+
+
+def test_jaccard_returns_links_not_pairs():
+    """A group of m members gives m - 1 links at most, and as many classes as brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(1500):
+        s = np.ones(400, bool)
+        s[rng.choice(400, rng.integers(0, 60), replace=False)] = False
+        sets.append((s, rng.integers(1 << 20, 1 << 21, rng.integers(0, 40)).astype(np.uint64)))
+    sets = [(s, np.unique(a)) for s, a in sets]
+    n = np.array([s.sum() + len(a) for s, a in sets])
+    far = np.array([(~s).sum() + len(a) for s, a in sets])
+    made = jaccard.forest(n.astype(np.int64), far.astype(np.int64), np.arange(1500), None, [np.packbits(~s).tobytes() for s, _ in sets], [a.tobytes() for _, a in sets])
+    label = list(range(1500))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    dense = np.array([s for s, _ in sets])
+    for i, j in made:
+        both = (dense[i] & dense[j]).sum() + len(np.intersect1d(sets[i][1], sets[j][1]))
+        assert 9 * both >= 4 * (n[i] + n[j]) and root(i) != root(j)
+        label[root(i)] = root(j)
+    same = dense.astype(np.int32) @ dense.T.astype(np.int32)
+    for i in range(1500):
+        for j in np.flatnonzero(9 * (same[i] + np.minimum(40, n[i])) >= 4 * (n[i] + n)):
+            if root(i) != root(int(j)):
+                both = same[i, j] + len(np.intersect1d(sets[i][1], sets[j][1]))
+                assert 9 * both < 4 * (n[i] + n[j])
+
+
 @pytest.mark.parametrize("group", [500, 1])
 def test_substring(docs, none, group, monkeypatch):
     monkeypatch.setattr(substring, "GROUP", group)
