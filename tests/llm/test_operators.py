@@ -177,6 +177,55 @@ def test_substring(docs, none, group, monkeypatch):
     assert substring.dedup_substrings(none).count() == 0
 
 
+def _brute_cut(rows):
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 49):
+            if i is not None:
+                first.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - 49) if i is not None and min(first[tuple(w[k : k + 50])]) < i for j in range(k, k + 50)}
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone).encode()))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("group", [500, 3])
+def test_substring_hot_passages(spark, group, monkeypatch):
+    """A passage in many documents, at their edges and inside, cut short in some; repeated rows, ids and nulls."""
+    monkeypatch.setattr(substring, "GROUP", group)
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(75)]
+    own = lambda i, n: [f"o{i}{rng.randrange(1000)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        a, b = rng.randrange(0, 20), rng.randrange(55, 76)
+        rows.append((rng.randrange(50), " ".join(own(i, rng.randrange(0, 30)) + passage[a:b] + own(i, rng.randrange(0, 30)))))
+    rows += [(7, " ".join(passage + own(99, 5) + passage))] * 3 + [(None, " ".join(passage)), (None, None), (3, None), (70, " ".join(passage)), (71, "na " * 200), (72, "na " * 120)]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in got) == _brute_cut(rows)
+
+
+def test_substring_contexts_of_repeated_rows(spark, tmp_path, monkeypatch):
+    """k equal rows give contexts in proportion to k."""
+    seen = []
+
+    class Counting(Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            if name == "contexts":
+                seen.append(out.count())
+            return out
+
+    text = " ".join(f"w{k}" for k in range(400))
+    for k in (5, 40):
+        docs = spark.createDataFrame([(1, text)] * k + [(2, text)] * k, "doc_id long, text string").withColumn("row", F.xxhash64("doc_id", "text"))
+        substring.covered_ranges(docs, Counting(spark)).count()
+    assert seen[1] == 8 * seen[0] > 0
+
+
 def test_quality(docs, none):
     got = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs), ["doc_id"]).collect()}
     for i, t in texts():

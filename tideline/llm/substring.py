@@ -12,19 +12,23 @@ windows of an anchor's content are a group of suffixes whose prefixes (from the
 3. for the others, the words around the anchor (all windows that name it) are dealt by content. A task holds whole
    groups of a bounded size and names the nodes of their suffix subtrees at depths 1, 2, 4, ... 32 and 50 from the
    ranks of the two halves; suffixes with one node at depth 50 start the same window, and its least doc_id decides;
-4. groups of more than GROUP occurrences don't fit one task. Occurrences whose words around the anchor are all equal
-   are one to begin with: it stands in the least doc_id, the others are covered. Its prefix is lengthened to the whole
-   window: each goes by the 128-bit digest of its words, the least doc_id of each is aggregated and joined back;
+4. groups of more than GROUP occurrences are split by longer prefixes, until each fits. Occurrences whose words around
+   the anchor are all equal are one to begin with: it stands in the least doc_id, the others are covered. If more than
+   GROUP different ones are left, their windows are halved by the anchor's place in them; the windows of a half have more
+   words in common (29, then 40, 45, 48 and at last all 50), and these are its prefix. So an occurrence becomes two at
+   most, equal ones merge again, and only groups that are still too large go on;
 5. the covered ranges of words are joined to the documents, merged and cut out.
 
 A null text has no words. Texts shorter than a window lose nothing. Rows of one doc_id count as one document's: a window
-in two of them is removed from neither because of the other. A null doc_id is never smaller or larger than another, so
-such rows lose nothing and take nothing. Other columns are ignored.
+in two of them is removed from neither because of the other; rows that are equal are cut alike. A null doc_id is never
+smaller or larger than another, so such rows lose nothing and take nothing. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -39,7 +43,7 @@ from tideline.llm.common import Scratch, buffers, inside, pieces, table, window_
 
 WINDOW = 50
 PREFIX = 8
-#: Occurrences of one content that are compared in one task; larger groups take the lengthened prefix.
+#: Occurrences of one prefix that are compared in one task; larger groups take longer prefixes.
 GROUP = 500
 #: Occurrences that a task holds at a time.
 HELD = 5_000
@@ -97,8 +101,16 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "row": b["row"], "z": pa.array([press.compress(data[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)], pa.binary())})
 
 
+CONTEXT = "doc_id long, row long, key long, hot boolean, low int, high int, start int, windows int, anchor int, words binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 5, pa.binary())
+
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[c.split()[0] for c in CONTEXT.split(", ")])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (z, anchors array): the words around each anchor."""
+    """Of rows (z, anchors array): the words around each anchor. low, high: the least and most words that a window has before it."""
     open_ = zstandard.ZstdDecompressor()
     for b in batches:
         ids, rows, out = b["doc_id"].to_pylist(), b["row"].to_pylist(), []
@@ -107,7 +119,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = open_.decompress(b["z"][i].as_py()).split()
             for x in b["found"][i].as_py():
                 text = b" ".join(words[x["start"] : x["start"] + x["windows"] + WINDOW - 1])
-                out.append((ids[i], rows[i], x["content"], x["hot"], x["start"], x["windows"], x["anchor"], text))
+                out.append((ids[i], rows[i], x["content"], x["hot"], 0, WINDOW - PREFIX, x["start"], x["windows"], x["anchor"], text))
                 size += len(text)
             if size > 1 << 23:
                 yield _context_batch(out)
@@ -116,12 +128,24 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _context_batch(out)
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "row", "content", "hot", "start", "windows", "anchor", "words"])
-
-
-CONTEXT = "doc_id long, row long, content long, hot boolean, start int, windows int, anchor int, words binary"
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of large groups, each with the windows of one half of its places only, and keyed by all words that these share."""
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            words, middle = r["words"].split(b" "), (r["low"] + r["high"]) // 2
+            most = r["anchor"] - r["start"]
+            least = most - r["windows"] + 1
+            for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+                top, bottom = min(most, high), max(least, low)
+                if top < bottom:
+                    continue
+                at = most - top
+                prefix = words[most - low : most - high + WINDOW]
+                key = hashlib.blake2b(struct.pack("<qi", r["key"], low) + b" ".join(prefix), digest_size=8).digest()
+                out.append((r["doc_id"], r["row"], struct.unpack("<q", key)[0], True, low, high, r["start"] + at, top - bottom + 1, r["anchor"], b" ".join(words[at : at + top - bottom + WINDOW])))
+        if out:
+            yield _context_batch(out)
 
 
 def _ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,7 +189,7 @@ RANGE = "doc_id long, row long, lo int, hi int"
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of contexts sorted by content: the covered ranges. Holds whole groups, about HELD occurrences."""
+    """Of contexts sorted by key: the covered ranges. Holds whole groups, about HELD occurrences."""
 
     def done(b: pa.Table) -> pa.RecordBatch:
         doc = b["doc_id"].to_numpy()
@@ -178,8 +202,8 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(batch.slice(lo, HELD))
             if sum(b.num_rows for b in held) >= HELD:
                 t = pa.Table.from_batches(held)
-                content = t["content"].to_numpy()
-                cut = int(np.searchsorted(content, content[-1]))  # the last group may go on
+                key = t["key"].to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
                 if cut:
                     yield done(t.slice(0, cut))
                 held = t.slice(cut).combine_chunks().to_batches()
@@ -187,25 +211,6 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(pa.Table.from_batches(held))
 
 
-def _long_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a large group by the digest of its words."""
-    for b in batches:
-        docs, rows, starts, windows = b["doc_id"].to_pylist(), b["row"].to_pylist(), b["start"].to_pylist(), b["windows"].to_pylist()
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for i in range(b.num_rows):
-            words = b["words"][i].as_py().split(b" ")
-            for k in range(windows[i]):
-                out[0].append(docs[i])
-                out[1].append(hashlib.blake2b(b" ".join(words[k : k + WINDOW]), digest_size=16).digest())
-                out[2].append(starts[i] + k)
-                out[3].append(rows[i])
-            if len(out[0]) >= 50_000:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "row": pa.array(out[3], pa.int64()), "digest": pa.array(out[1], pa.binary()), "lo": pa.array(out[2], pa.int32())})
-                out = ([], [], [], [])
-        if out[0]:
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "row": pa.array(out[3], pa.int64()), "digest": pa.array(out[1], pa.binary()), "lo": pa.array(out[2], pa.int32())})
-
-
 def covered_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, row, lo, hi): ranges of words to remove, in each document; they may overlap. docs(doc_id long, row long, text string);
     (doc_id, row) tells documents apart."""
@@ -213,21 +218,30 @@ def covered_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id is not null")
     anchors = scratch.keep(docs.mapInArrow(_emit_anchors, "doc_id long, row long, content long, start int, windows int, anchor int"), "anchors")
-    groups = anchors.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
-    found = anchors.join(groups.select("content", (F.col("n") > GROUP).alias("hot")), "content")
-    per_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("content", "hot", "start", "windows", "anchor")).alias("found"))
+    # groups are written, so that a join with them can be a broadcast, or split where a group is hot
+    groups = scratch.keep(anchors.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("content", (F.col("n") > GROUP).alias("hot")), "groups")
+    found = anchors.join(groups, "content")
+    per_doc = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("content", "hot", "start", "windows", "anchor")).alias("found"))
     contexts = scratch.keep(docs.mapInArrow(_squeezed, "doc_id long, row long, z binary").join(per_doc, ["doc_id", "row"]).mapInArrow(_contexts, CONTEXT), "contexts")
-    subtrees = contexts.where("not hot").repartition(parts, "content").sortWithinPartitions("content").mapInArrow(_subtrees, RANGE)
-    # contexts of equal words: all windows of those after the least doc_id are covered by it, only that one's own go on
-    hot = contexts.where("hot").withColumn("same", F.unhex(F.md5("words")))
-    firsts = hot.groupBy("content", "same").agg(F.min("doc_id").alias("first_doc"))
-    first = F.col("doc_id") == F.col("first_doc")
-    hot = scratch.keep(hot.join(firsts, ["content", "same"]).select("doc_id", "row", "start", "windows", first.alias("first"), F.when(first, F.col("words")).alias("words")), "hot")
-    copies = hot.where("not first").select("doc_id", "row", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + WINDOW - 1).cast("int").alias("hi"))
-    windows = hot.where("first").mapInArrow(_long_prefixes, "doc_id long, row long, digest binary, lo int")
-    least = windows.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    longer = windows.join(least, "digest").where("doc_id > least").select("doc_id", "row", "lo", (F.col("lo") + WINDOW).cast("int").alias("hi"))
-    return subtrees.unionByName(copies).unionByName(longer)
+    scratch.drop(anchors)
+    fitting = lambda t: t.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_subtrees, RANGE)
+    ranges = fitting(contexts.where("not hot").select("key", "doc_id", "row", "start", "windows", "words"))
+    state, more = contexts.where("hot"), bool(groups.where("hot").limit(1).count())
+    while more:
+        # contexts of equal words: all windows of those after the least doc_id are covered by it, only that one's own go on
+        named = state.withColumn("same", F.unhex(F.md5("words")))
+        firsts = scratch.keep(named.groupBy("key", "same").agg(F.min("doc_id").alias("first")), "firsts")
+        sizes = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("x"), F.max("first").alias("y"))
+        sizes = scratch.keep(sizes.select("key", F.when(F.col("x") < F.col("y"), F.col("k")).otherwise(0).alias("k")), "sizes")
+        level = scratch.keep(named.join(firsts, ["key", "same"]).join(sizes, "key").where("doc_id > first or k > 0").drop("same"), "level")
+        copies = level.where("doc_id > first")
+        ranges = ranges.unionByName(copies.select("doc_id", "row", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + WINDOW - 1).cast("int").alias("hi")))
+        own = level.where("doc_id = first")
+        ranges = ranges.unionByName(fitting(own.where(F.col("k") <= GROUP).select("key", "doc_id", "row", "start", "windows", "words")))
+        more = bool(sizes.where(F.col("k") > GROUP).limit(1).count())
+        state = own.where(F.col("k") > GROUP).select(*[c.split()[0] for c in CONTEXT.split(", ")]).mapInArrow(_longer, CONTEXT)
+        scratch.drop(firsts, sizes)
+    return ranges
 
 
 def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
@@ -264,7 +278,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept binary) for every row of docs; kept: the words left, joined by one space."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    ranges = covered_ranges(docs, scratch).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    ranges = covered_ranges(docs, scratch).groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
     return docs.mapInArrow(_squeezed, "doc_id long, row long, z binary").join(ranges, ["doc_id", "row"], "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
