@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, buffers, gathered, mix, packed, pieces, summed, table, table_rows, unpacked, window_hashes, words_of
+from tideline.llm.common import Scratch, buffers, gathered, lean, mix, packed, pieces, summed, table, table_rows, unpacked, window_hashes, words_of
 from tideline.llm.components import components
 
 SHINGLE = 5
@@ -353,13 +353,13 @@ def similarity_classes(docs: DataFrame, keep: str | None = None) -> DataFrame:
     row = F.xxhash64("doc_id", "text") if keep is None else F.col(keep).cast("long")
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", row.alias("row"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scan = scratch.keep(docs.mapInArrow(_scan, SCAN), "scan")
+    scan = scratch.keep(docs.mapInArrow(lean(_scan), SCAN), "scan")
     counts = gathered(summed(scan.where("name is not null").select("name", "part", "body"))).get("shingles", np.zeros(BUCKETS, np.uint32))
     sets = scan.where("name is null").select("doc_id", "row", "n", "sig")
     ranks = spark.sparkContext.broadcast(packed(np.minimum(counts, 65535).astype(np.uint16)))
     del counts
-    rows = docs.select("text").mapInArrow(_prefixes(ranks), PREFIX)
-    lists = scratch.keep(rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sig").mapInArrow(_lists, LIST), "lists")
+    rows = docs.select("text").mapInArrow(lean(_prefixes(ranks)), PREFIX)
+    lists = scratch.keep(rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sig").mapInArrow(lean(_lists), LIST), "lists")
     ranks.unpersist()
 
     # (pivot, member) of every list; a salted one gets its pivot here
@@ -373,12 +373,12 @@ def similarity_classes(docs: DataFrame, keep: str | None = None) -> DataFrame:
     sigs = members.select(F.col("p").alias("sig")).unionByName(members.select(F.col("x").alias("sig"))).distinct()
     heads = scratch.keep(sets.where("n > 0").groupBy("sig").agg(F.min("row").alias("row")).join(sigs, "sig", "left_semi"), "heads")
     few = heads.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
-    texts = docs.select("row", "text").join(F.broadcast(heads) if few else heads, "row").select("sig", "text").mapInArrow(_squeezed, "sig long, z binary").groupBy("sig").agg(F.min("z").alias("z"))
+    texts = docs.select("row", "text").join(F.broadcast(heads) if few else heads, "row").select("sig", "text").mapInArrow(lean(_squeezed), "sig long, z binary").groupBy("sig").agg(F.min("z").alias("z"))
     sizes = members.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("slices", F.ceil(F.col("m") / SLICE))
     asked = members.join(sizes, "p").select("p", "x", "m", "slices", F.pmod(F.xxhash64("x"), F.col("slices")).alias("slice"))
     asked = asked.unionByName(sizes.select("p", F.col("p").alias("x"), "m", "slices", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")))
     asked = asked.join(texts, F.col("x") == F.col("sig")).select("p", "slice", "x", "m", "slices", "z", (F.col("x") != F.col("p")).alias("other"))
-    answers = scratch.keep(asked.repartition(parts, "p", "slice").sortWithinPartitions("p", "slice", "other", "x").drop("other").mapInArrow(_answers, ANSWER), "answers")
+    answers = scratch.keep(asked.repartition(parts, "p", "slice").sortWithinPartitions("p", "slice", "other", "x").drop("other").mapInArrow(lean(_answers), ANSWER), "answers")
     labels = components(scratch, answers.where("link").select(F.col("p").alias("a"), F.col("x").alias("b")))
 
     # groups of several classes
@@ -388,7 +388,7 @@ def similarity_classes(docs: DataFrame, keep: str | None = None) -> DataFrame:
     left = left.join(mixed, "p").withColumn("side", F.pmod(F.xxhash64("x", F.lit(1)), F.col("blocks")).cast("int"))
     left = left.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("p", F.least("side", "to").alias("a"), F.greatest("side", "to").alias("b"), "x", "side", "n", "far", "label", "lacks", "adds")
-    links = scratch.keep(left.repartition(parts, "p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(_derived, "a long, b long"), "links")
+    links = scratch.keep(left.repartition(parts, "p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lean(_derived), "a long, b long"), "links")
     scratch.drop(answers)
     if links.limit(1).count():
         labels = components(scratch, links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))

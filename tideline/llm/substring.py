@@ -39,14 +39,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, buffers, inside, pieces, table, window_hashes, words_of
+from tideline.llm.common import Scratch, buffers, inside, lean, pieces, table, window_hashes, words_of
 
 WINDOW = 50
 PREFIX = 8
 #: Occurrences of one prefix that are compared in one task; larger groups take longer prefixes.
 GROUP = 500
 #: Occurrences that a task holds at a time.
-HELD = 5_000
+HELD = 2_000
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = b" ".join(words[x["start"] : x["start"] + x["windows"] + WINDOW - 1])
                 out.append((ids[i], rows[i], x["content"], x["hot"], 0, WINDOW - PREFIX, x["start"], x["windows"], x["anchor"], text))
                 size += len(text)
-            if size > 1 << 23:
+            if size > 1 << 21:
                 yield _context_batch(out)
                 out, size = [], 0
         if out:
@@ -217,14 +217,14 @@ def covered_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id is not null")
-    anchors = scratch.keep(docs.mapInArrow(_emit_anchors, "doc_id long, row long, content long, start int, windows int, anchor int"), "anchors")
+    anchors = scratch.keep(docs.mapInArrow(lean(_emit_anchors), "doc_id long, row long, content long, start int, windows int, anchor int"), "anchors")
     # groups are written, so that a join with them can be a broadcast, or split where a group is hot
     groups = scratch.keep(anchors.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("content", (F.col("n") > GROUP).alias("hot")), "groups")
     found = anchors.join(groups, "content")
     per_doc = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("content", "hot", "start", "windows", "anchor")).alias("found"))
-    contexts = scratch.keep(docs.mapInArrow(_squeezed, "doc_id long, row long, z binary").join(per_doc, ["doc_id", "row"]).mapInArrow(_contexts, CONTEXT), "contexts")
+    contexts = scratch.keep(docs.mapInArrow(lean(_squeezed), "doc_id long, row long, z binary").join(per_doc, ["doc_id", "row"]).mapInArrow(lean(_contexts), CONTEXT), "contexts")
     scratch.drop(anchors)
-    fitting = lambda t: t.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_subtrees, RANGE)
+    fitting = lambda t: t.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(_subtrees), RANGE)
     ranges = fitting(contexts.where("not hot").select("key", "doc_id", "row", "start", "windows", "words"))
     state, more = contexts.where("hot"), bool(groups.where("hot").limit(1).count())
     while more:
@@ -239,7 +239,7 @@ def covered_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
         own = level.where("doc_id = first")
         ranges = ranges.unionByName(fitting(own.where(F.col("k") <= GROUP).select("key", "doc_id", "row", "start", "windows", "words")))
         more = bool(sizes.where(F.col("k") > GROUP).limit(1).count())
-        state = own.where(F.col("k") > GROUP).select(*[c.split()[0] for c in CONTEXT.split(", ")]).mapInArrow(_longer, CONTEXT)
+        state = own.where(F.col("k") > GROUP).select(*[c.split()[0] for c in CONTEXT.split(", ")]).mapInArrow(lean(_longer), CONTEXT)
         scratch.drop(firsts, sizes)
     return ranges
 
@@ -255,7 +255,7 @@ def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, z, found): without the words of the ranges. Kept words are joined by one space."""
+    """Rows (doc_id, row, z, found): without the words of the ranges. Kept words are joined by one space."""
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -271,15 +271,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "row": b["row"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept binary) for every row of docs; kept: the words left, joined by one space."""
+def dedup_substrings(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept binary) for every row of docs; kept: the words left, joined by one space.
+
+    key: a long column that tells rows of one doc_id apart, returned as well; without it their texts do."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    row = F.xxhash64("doc_id", "text") if key is None else F.col(key).cast("long")
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", row.alias("row"))
     ranges = covered_ranges(docs, scratch).groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
-    return docs.mapInArrow(_squeezed, "doc_id long, row long, z binary").join(ranges, ["doc_id", "row"], "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
+    out = docs.mapInArrow(lean(_squeezed), "doc_id long, row long, z binary").join(ranges, ["doc_id", "row"], "left").mapInArrow(lean(_cut), "doc_id long, row long, n_words long, n_removed long, kept binary")
+    return out.drop("row") if key is None else out.withColumnRenamed("row", key)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
