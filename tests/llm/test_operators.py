@@ -227,7 +227,7 @@ def test_substring_contexts_of_repeated_rows(spark, tmp_path, monkeypatch):
 
 
 def test_quality(docs, none):
-    got = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs), ["doc_id"]).collect()}
+    got = {r["doc_id"]: r for r in quality.judge(docs, ["doc_id"]).collect()}
     for i, t in texts():
         w = words(t)
         grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
@@ -237,7 +237,13 @@ def test_quality(docs, none):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), repeat)
         assert r["base_failed"] == (len(w) < 50 or 100 * repeat > 50 * len(w)) and not (r["base_failed"] and r["kept"])
-    assert quality.judge(none, quality.references(none), ["doc_id"]).count() == 0
+    assert quality.judge(none, ["doc_id"]).count() == 0
+
+
+def _references(docs):
+    found = quality.candidates(docs)
+    base = quality.measured(docs, found, ["doc_id"])
+    return base, quality.references(base, found)
 
 
 def test_quality_references_of_every_language(spark, monkeypatch):
@@ -246,18 +252,84 @@ def test_quality_references_of_every_language(spark, monkeypatch):
     rows = [(10 * k + i, make(k), f"l{k:02}") for k in range(40) for i in range(1 if k == 39 else 2)]
     rows += [(1000, " ".join(f"x{i}y" for i in range(80)), "l01"), (1001, None, "l01"), (1002, make(7), None)]
     docs = Scratch(spark).keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")
-    joined = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs), ["doc_id"]).collect()}
+    joined = {r["doc_id"]: r for r in quality.judge(docs, ["doc_id"]).collect()}
     assert {i for i, r in joined.items() if not r["kept"]} == {1000, 1001}
     few = docs.where("lang in ('l07', 'l39') or doc_id > 1000")
-    refs = quality.references(few)
-    inline = {r["doc_id"]: r for r in quality.judge(few, refs, ["doc_id"]).collect()}
+    inline = {r["doc_id"]: r for r in quality.judge(few, ["doc_id"]).collect()}
     monkeypatch.setattr(quality, "LANGUAGES", 0)
-    joined = {r["doc_id"]: r for r in quality.judge(few, refs, ["doc_id"]).collect()}
+    joined = {r["doc_id"]: r for r in quality.judge(few, ["doc_id"]).collect()}
     assert len(joined) == 5 and inline.keys() == joined.keys()
     for i, r in joined.items():
         assert [pytest.approx(x) for x in r] == list(inline[i])
-    bare = quality.references(docs).where("lang <> 'l39'")
-    assert {r["kept"] for r in quality.judge(docs, bare, ["doc_id"]).where("doc_id = 390").collect()} == {True}
+    base, refs = _references(docs)
+    assert {r["kept"] for r in quality.verdicts(base, refs.where("lang <> 'l39'"), ["doc_id"]).where("doc_id = 390").collect()} == {True}
+
+
+def _scripts():
+    rng = random.Random(6)
+    common = {
+        "ru": "и в не на что он как это но по из за так же от".split(),
+        "zh": "的 了 在 是 我 有 和 就 不 人 都 一 上 也".split(),
+        "ko": "그리고 하지만 그래서 있는 하는 에서 으로 그런 대한 위한 있다 없는".split(),
+        "en": "the of and to in that was with have from which their been would".split(),
+    }
+    letters = {"ru": "абвгдежзиклмнопрст", "zh": "山水火木金土日月年时分秒", "ko": "가나다라마바사아자차", "en": "abcdefghijklmnop"}
+    made = lambda k: " ".join(rng.choice(common[k]) if rng.random() < 0.35 else "".join(rng.choices(letters[k], k=rng.randrange(2, 8))) + rng.choice(["", "", "", "."]) for _ in range(rng.randrange(60, 160)))
+    rows = [(100 * j + i, made(k), k) for j, k in enumerate(common) for i in range(40)]
+    rows += [(900 + j, "".join(rng.choices("#$%&*<>|", k=4)).join(made(k).split()[:20] * 4), k) for j, k in enumerate(common)]
+    rows += [(950, " ".join("".join(rng.choices("xyz0123456789", k=6)) for _ in range(90)), "en"), (951, "", "ru"), (952, None, None)]
+    return rows
+
+
+def test_quality_keeps_every_script(spark):
+    docs = Scratch(spark).keep(spark.createDataFrame(_scripts(), "doc_id long, text string, lang string"), "docs")
+    kept = {r["doc_id"] for r in quality.judge(docs, ["doc_id"]).where("kept").collect()}
+    assert all(len([i for i in kept if i // 100 == j]) >= 39 for j in range(4)) and not {i for i in kept if i >= 900}
+
+
+def test_quality_verdict_by_brute_force(spark):
+    """kept and its divergences against a plain version that counts all words."""
+    rows = _scripts()
+    fit, stats = [], {}
+    for i, t, k in rows:
+        t = t or ""
+        w = words(t)
+        n = len(re.findall(r"[#*$%&|<>]", t))
+        chars = sum(map(len, w))
+        counts = [len(re.findall("[A-Z]", t)), len(re.findall("[0-9]", t)), len(t) - chars, n, len(re.findall(r"[.,;:!?\"'()\[\]{}]", t)), len(t.encode()) - len(t)]
+        shares = [x / max(len(t), 1) for x in [max(len(t) - sum(counts), 0), *counts]]
+        stats[i] = (w, shares)
+        if k and len(w) >= 50 and n * 50 < chars:
+            fit.append((k, w, shares))
+    refs = {}
+    for k in {k for k, *_ in fit}:
+        own = [(w, s) for x, w, s in fit if x == k]
+        c = collections.Counter(x for w, _ in own for x in w)
+        top = sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]
+        n, total = sum(v for _, v in top), sum(c.values())
+        if n / total * quality.MIN_WORDS * quality.LEAST_COMMON >= 1:
+            refs[k] = ([x for x, _ in top], [v / n for _, v in top], n / total, [sum(s[j] for _, s in own) / len(own) for j in range(7)])
+
+    def jsd(p, q):
+        part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+        return sum(0.5 * (part(x, (x + y) / 2) + part(y, (x + y) / 2)) for x, y in zip(p, q))
+
+    docs = Scratch(spark).keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")
+    for r in quality.judge(docs, ["doc_id"]).collect():
+        w, shares = stats[r["doc_id"]]
+        best = None
+        for top, own, share, classes in refs.values():
+            c = collections.Counter(w)
+            found = [c[x] for x in top]
+            total = sum(found)
+            if total:
+                enough = total >= quality.MIN_COMMON_WORDS
+                v = (total / len(w) / share, jsd([x / total for x in found], own) if enough else 1.0, jsd(shares, classes), enough)
+                good = v[2] <= quality.MOST_CLASS and v[0] >= quality.LEAST_COMMON and (not enough or v[1] <= quality.MOST_COMMON)
+                best = max(best or (good, v), (good, v))
+        assert r["kept"] == (not r["base_failed"] and bool(best and best[0])), r
+        if best:
+            assert r["common_share"] == pytest.approx(best[1][0]) and r["class_divergence"] == pytest.approx(best[1][2], abs=1e-12)
 
 
 def test_quality_common_words_of_any_script(spark):
@@ -267,10 +339,10 @@ def test_quality_common_words_of_any_script(spark):
     rows += [(100 + i, made(["-"], 0.01), "rare") for i in range(20)]  # nothing common: no reference
     rows += [(200 + i, "zz " * 30, "hi") for i in range(100)] + [(300, made(["-"], 0), "hi")]
     docs = Scratch(spark).keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")
-    refs = quality.references(docs)
+    base, refs = _references(docs)
     (ref,) = refs.collect()
     assert ref["lang"] == "hi" and set(ref["words"][:3]) == {"\u0939\u0948\u0902", "\u092e\u0947\u0902", "\u0915\u0947"} and "zz" not in ref["words"]
-    assert {r["doc_id"] for r in quality.judge(docs, refs, ["doc_id"]).collect() if r["kept"]} == {*range(20), *range(100, 120)}
+    assert {r["doc_id"] for r in quality.verdicts(base, refs, ["doc_id"]).collect() if r["kept"]} == {*range(20), *range(100, 120)}
 
 
 def test_mixing(spark, docs, none):

@@ -3,15 +3,20 @@
 Verdict of the method, for texts of MIN_WORDS words at least: the text's distributions over character classes, and over
 the common words of a language, are compared with references. A reference is the mean distribution of the documents of
 a language (of MIN_WORDS words at least, with few symbols); its common words are the COMMON most frequent words of these
-documents. It is left out if they are so rare that a clean text of MIN_WORDS words may well hold none. A text is kept if the reference of any language accepts it, so a wrong or missing lang does no
-harm; a text that holds no common word of any reference has no divergences.
-The divergence of common words is judged only if the text has MIN_COMMON_WORDS of them; a text with fewer is judged by
-the share of its words that are common alone. All statistics cover all documents, and every language has a reference:
-up to LANGUAGES of them reach the driver, more are joined as a table.
+documents, of any length and script. It is left out if they are so rare that a clean text of MIN_WORDS words may well
+hold none. A text is kept if the reference of any language accepts it, so a wrong or missing lang does no harm; a text that
+holds no common word of any reference has no divergences. The divergence of common words is judged only if the text has
+MIN_COMMON_WORDS of them; a text with fewer is judged by the share of its words that are common alone.
+
+Three passes: one finds each language's CANDIDATES frequent words with a sketch of fixed size over all its words; one
+measures every document and counts the candidates in it, and is written; the references (exact counts over all documents,
+of which the COMMON largest are taken) and the verdicts come from that small table. Every language has a reference: up to
+LANGUAGES of them stand in the plan, more are joined as a table.
 
 Words in repeated 3-word windows are found by sorting the windows' 64-bit hashes within the row, whatever its length.
-A null text counts as empty: n_words 0, base_failed. Repeated rows are judged alike, other columns are ignored. The base
-rules decide alone for the documents of a language without a reference, and for all if there is no reference.
+A null text counts as empty: n_words 0, base_failed. Repeated rows are judged alike, other columns are ignored. Of equally
+frequent words the first in code point order is taken. The base rules decide alone for the documents of a language without
+a reference, and for all if there is no reference. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import BLANKS, WORD, Scratch, table
+from tideline.llm.common import WORD, Scratch, table
 
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
+MARKS = "[.,;:!?\"'()\\[\\]{}]"
 COMMON = 16
+#: Words of a language whose counts are exact, and items that the sketch which finds them tracks.
+CANDIDATES = 32
+TRACKED = 8192
 MIN_COMMON_WORDS = 12
 #: References that are written into the plan as literals; more are joined as a table, with the same results.
 LANGUAGES = 32
@@ -33,7 +42,7 @@ MOST_COMMON = 0.5
 #: Least accepted share of common words, as a part of the language's own share.
 LEAST_COMMON = 0.22
 _CLASSES = ("lower", "upper", "digit", "blank", "symbol", "mark", "other")
-
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -47,26 +56,29 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def _special(text: Column) -> Column:
-    """A text without small letters and blanks: a small part of it, for the counts by class."""
-    return F.translate(text, "abcdefghijklmnopqrstuvwxyz" + BLANKS, "")
+def _with_words(docs: DataFrame) -> DataFrame:
+    """Adds ``_text``, ``_words``, n_words, word_chars and n_symbols."""
+    docs = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    docs = docs.withColumn("_words", split_words(F.col("_text")))
+    chars = F.length(F.array_join("_words", "")).cast("long")
+    return docs.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": chars, "n_symbols": _count(F.col("_text"), SYMBOLS)})
+
+
+def _fit() -> Column:
+    """Whether a text counts for its language's reference."""
+    return (F.col("n_words") >= MIN_WORDS) & (F.col("n_symbols") * 50 < F.col("word_chars"))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``_words`` to docs(text)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    docs = docs.withColumn("_text", text).withColumn("_words", split_words(F.col("_text"))).withColumn("_lines", lines).withColumn("_special", _special(F.col("_text")))
+    """Adds the columns of _COUNTS, ``_text`` and ``_words`` to docs(text)."""
+    docs = _with_words(docs)
     w = F.col("_words")
-    docs = docs.withColumns({
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": _count(F.col("_special"), SYMBOLS),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-    })
+    docs = docs.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
+    docs = docs.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     # most texts repeat no window; only for the others are the windows sorted as (hash, place), where equal neighbours are repeats
-    hashes = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
-    docs = docs.withColumn("_hashes", F.when(F.size(w) >= 3, hashes))
+    n = F.greatest(F.size(w) - 2, F.lit(0))
+    windows = F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"), F.slice(w, 3, F.greatest(F.size(w), F.lit(1))).alias("c")), 1, n)
+    docs = docs.withColumn("_hashes", F.transform(windows, lambda x: F.xxhash64(x)))
     some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     docs = docs.withColumn("_grams", F.when(some, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     g = F.col("_grams")
@@ -80,41 +92,59 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """Adds ``_shares``: of characters by class, in the order of _CLASSES. ``other`` counts the bytes that text has beyond its characters."""
-    t = F.col("_special")
-    docs = docs.withColumns({"_upper": _count(t, "[A-Z]"), "_digit": _count(t, "[0-9]"), "_mark": _count(t, "[.,;:!?\"'()\\[\\]{}]"), "_length": F.length("_text")})
-    other = F.octet_length("_text") - F.col("_length")
+    t = F.col("_text")
+    docs = docs.withColumns({"_upper": _count(t, "[A-Z]"), "_digit": _count(t, "[0-9]"), "_mark": _count(t, MARKS), "_length": F.length(t)})
+    other = F.octet_length(t) - F.col("_length")
     known = [F.col("_upper"), F.col("_digit"), F.col("_length") - F.col("word_chars"), F.col("n_symbols"), F.col("_mark"), other]
     rest = F.col("_length")
     for c in known:
         rest = rest - c
-    docs = docs.withColumn("_counts", F.array(*[c.cast("double") for c in [F.greatest(rest, F.lit(0)), *known]]))
-    return docs.withColumn("_shares", F.transform("_counts", _over(F.greatest(F.col("_length"), F.lit(1))))).drop("_upper", "_digit", "_mark", "_length", "_counts")
+    total = F.greatest(F.col("_length"), F.lit(1)).cast("double")
+    return docs.withColumn("_shares", F.array(*[c.cast("double") / total for c in [F.greatest(rest, F.lit(0)), *known]])).drop("_upper", "_digit", "_mark", "_length")
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """For each language that has one: lang, classes (shares), words, shares of these among the common words, and their share of all words."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    fit = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("_text")).where("lang is not null").withColumn("_words", split_words(F.col("_text"))).withColumn("_special", _special(F.col("_text")))
-    fit = fit.withColumns({"word_chars": F.length(F.array_join("_words", "")), "n_symbols": _count(F.col("_special"), SYMBOLS)})
-    few = (F.size("_words") >= MIN_WORDS) & (F.col("n_symbols") * 50 < F.col("word_chars"))
-    # no filter: it would be pushed down, and the costly columns computed twice
-    stats = _classes(fit).select("lang", F.when(few, F.struct(F.col("_shares").alias("s"), F.size("_words").alias("n"))).alias("x")).select("lang", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
-    means = stats.groupBy("lang").agg(F.count("n").alias("docs"), F.sum("n").alias("total"), F.array(*[F.avg(F.col("s")[i]) for i in range(len(_CLASSES))]).alias("classes")).where("docs > 0")
+def candidates(docs: DataFrame) -> DataFrame:
+    """(lang, words): the CANDIDATES most frequent words of the fit documents of each language, from docs(text, lang)."""
+    fit = _with_words(docs.select(F.col("lang").cast("string").alias("lang"), "text").where("lang is not null"))
     # outer: no filter on the words is inferred and pushed down
-    words = fit.select("lang", F.explode_outer(F.when(few, F.col("_words"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).where("w is not null")
-    top = _top(words).withColumn("n", F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    words = fit.select("lang", F.explode_outer(F.when(_fit(), F.col("_words"))).alias("w"))
+    top = words.groupBy("lang").agg(F.expr(f"approx_top_k(w, {CANDIDATES}, {TRACKED})").alias("top"))
+    return top.select("lang", F.filter(F.transform("top", lambda x: x["item"]), lambda w: w.isNotNull()).alias("words"))
+
+
+def measured(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
+    """A written table of ``keep``, the base counts, ``_row``, ``_lang``, ``_shares`` and ``_common``: the candidates in the text, as often as they stand in it."""
+    scratch = Scratch(docs.sparkSession)
+    base = _classes(base_counts(docs.withColumn("_lang", F.col("lang").cast("string"))))
+    out = [*keep, *_COUNTS, "_lang", "_shares", "_row"]
+    base = base.withColumn("_row", F.monotonically_increasing_id())
+    langs = found.limit(LANGUAGES + 1).collect()
+    if len(langs) <= LANGUAGES:
+        words = sorted({w for r in langs for w in r["words"]})
+        common = F.filter("_words", lambda w: w.isin(words)) if words else F.array().cast("array<string>")
+        return scratch.keep(base.select(*out, common.alias("_common")), "measured")
+    # written once: the row numbers must not change between the two reads
+    base = scratch.keep(base.select(*out, "_words"), "words")
+    wanted = found.select(F.explode("words").alias("w")).distinct()
+    common = base.select("_row", F.explode("_words").alias("w")).join(wanted, "w").groupBy("_row", "w").agg(F.count(F.lit(1)).alias("n"))
+    common = common.groupBy("_row").agg(F.flatten(F.collect_list(F.array_repeat("w", F.col("n").cast("int")))).alias("_common"))
+    made = scratch.keep(base.drop("_words").join(common, "_row", "left").withColumn("_common", F.coalesce("_common", F.array().cast("array<string>"))), "measured")
+    scratch.drop(base)
+    return made
+
+
+def references(base: DataFrame, found: DataFrame) -> DataFrame:
+    """For each language that has one: lang, classes (shares), words, shares of these among the common words, and their share of all words."""
+    fit = base.where(_fit() & F.col("_lang").isNotNull())
+    means = fit.groupBy(F.col("_lang").alias("lang")).agg(F.sum("n_words").alias("total"), F.array(*[F.avg(F.col("_shares")[i]) for i in range(len(_CLASSES))]).alias("classes"))
+    counts = fit.select(F.col("_lang").alias("lang"), F.explode("_common").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(found.select(F.col("lang"), F.explode("words").alias("w")), ["lang", "w"])  # a language's own candidates
+    ranked = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= COMMON)
+    top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top"), F.sum("n").alias("n"))
     shares = F.transform("top", lambda x: x["n"] / F.col("n"))
     made = means.join(top, "lang").select("lang", "classes", F.col("top.w").alias("words"), shares.alias("shares"), (F.col("n") / F.col("total")).alias("share"))
     # the shortest text must be expected to hold enough common words for one to be the least accepted share
-    return Scratch(docs.sparkSession).keep(made.where(F.col("share") * MIN_WORDS * LEAST_COMMON >= 1), "references")
-
-
-def _top(counts: DataFrame) -> DataFrame:
-    """The COMMON most frequent words of each language: first within hash slots, then over the slots, so that no task sorts all."""
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "w"))
-    slots = counts.withColumn("slot", F.pmod(F.xxhash64("w"), F.lit(64))).withColumn("k", rank("lang", "slot")).where(F.col("k") <= COMMON)
-    best = slots.withColumn("k", rank("lang")).where(F.col("k") <= COMMON)
-    return best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "w", "n"))).alias("top"))
+    return Scratch(base.sparkSession).keep(made.where(F.col("share") * MIN_WORDS * LEAST_COMMON >= 1), "references")
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -124,76 +154,73 @@ def _divergence(p: Column, q: Column) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
 
 
-def _over(total: Column):
-    return lambda c: c / total
-
-
-def _floats(xs: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in xs])
-
-
 def _total(found: Column) -> Column:
     return F.aggregate(found, F.lit(0.0), lambda s, x: s + x)
 
 
-def _verdict(found: Column, total: Column, shares: Column, classes: Column, share: Column, text: Column) -> Column:
-    """Of a text with these counts of a reference's common words: the reference's verdict, to be ordered; null if it has none of them."""
-    mine = F.transform(found, _over(F.greatest(total, F.lit(1.0))))
+def _verdict(found: Column, total: Column, ref: Column) -> Column:
+    """Of a text with these counts of a reference's common words: the reference's verdict, to be ordered; null if it has none of them.
+
+    A reference that accepts the text goes before all others, so that further references never reject it."""
     enough = total >= MIN_COMMON_WORDS
-    common = F.coalesce(F.when(enough, _divergence(mine, shares)), F.lit(1.0))
-    r = F.struct((total / F.greatest(F.col("n_words"), F.lit(1)) / share).alias("share"), common.alias("common"), _divergence(text, classes).alias("classes"), enough.alias("enough"))
+    mine = F.transform(found, lambda c: c / total)
+    common = F.coalesce(F.when(enough, _divergence(mine, ref["shares"])), F.lit(1.0))
+    share = total / F.greatest(F.col("n_words"), F.lit(1)) / ref["share"]
+    r = F.struct(share.alias("share"), common.alias("common"), _divergence(F.col("_shares"), ref["classes"]).alias("classes"), enough.alias("enough"))
     return F.when(total > 0, r)
 
 
-def _good(r: Column) -> Column:
-    return (r["classes"] <= MOST_CLASS) & (r["share"] >= LEAST_COMMON) & (~r["enough"] | (r["common"] <= MOST_COMMON))
+def _ordered(r: Column) -> Column:
+    good = (r["classes"] <= MOST_CLASS) & (r["share"] >= LEAST_COMMON) & (~r["enough"] | (r["common"] <= MOST_COMMON))
+    return F.when(r.isNotNull(), F.struct(good.alias("good"), r.alias("r")))
 
 
-def _ordered(r: Column) -> Column:
-    """A reference that accepts the text goes before all others, so that further references never reject it."""
-    return F.when(r.isNotNull(), F.struct(_good(r).alias("good"), r.alias("r")))
+def _literal(refs: list[dict]) -> Column:
+    """References as one array of structs."""
+    floats = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    return F.array(*[F.struct(F.array(*map(F.lit, r["words"])).alias("words"), floats(r["shares"]).alias("shares"), floats(r["classes"]).alias("classes"), F.lit(float(r["share"])).alias("share")) for r in refs])
+
+
+def _once(x: Column, f) -> Column:
+    """f(x), with x computed once: a column that a lambda function uses would be copied into it, and computed for every element."""
+    return F.transform(F.array(x), f)[0]
 
 
 def _nearest_inline(base: DataFrame, refs: list[dict]) -> DataFrame:
-    """Adds ``_best``, with the references as literals."""
-    common = sorted({w for r in refs for w in r["words"]})
-    base = base.withColumn("_common", F.filter("_words", lambda w: w.isin(common)))
-    for i, r in enumerate(refs):
-        found = F.array(*[F.size("_common") - F.size(F.array_remove("_common", w)) for w in r["words"]])
-        base = base.withColumn(f"_f{i}", F.transform(found, lambda c: c.cast("double")))
-        base = base.withColumn(f"_s{i}", _total(F.col(f"_f{i}")))
-        base = base.withColumn(f"_r{i}", _verdict(F.col(f"_f{i}"), F.col(f"_s{i}"), _floats(r["shares"]), _floats(r["classes"]), F.lit(float(r["share"])), F.col("_shares")))
-        base = base.withColumn(f"_o{i}", _ordered(F.col(f"_r{i}")))
-    best = F.array_max(F.array(*[F.col(f"_o{i}") for i in range(len(refs))]))
+    """Adds ``_best``, with the references as literals. Each step holds what the next one uses more than once."""
+    common = F.col("_common")
+    times = lambda d: F.map_from_arrays(d, F.transform(d, lambda w: F.size(common) - F.size(F.array_remove(common, w))))
+    found = lambda m, r: F.transform(r["words"], lambda w: F.coalesce(F.element_at(m, w), F.lit(0)).cast("double"))
+    x = _once(_once(F.array_distinct(common), times), lambda m: F.transform(_literal(refs), lambda r: F.struct(r.alias("ref"), found(m, r).alias("found"))))
+    x = F.transform(x, lambda s: F.struct(s["ref"].alias("ref"), s["found"].alias("found"), _total(s["found"]).alias("total")))
+    x = F.transform(x, lambda s: _verdict(s["found"], s["total"], s["ref"]))
+    best = F.array_max(F.transform(x, _ordered))
     return base.withColumn("_best", best).withColumn("_own", F.col("_lang").isin([r["lang"] for r in refs]))
 
 
 def _nearest_joined(base: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds ``_best`` by a join of each text's distinct words with the references, whatever their number."""
-    # written once: the row numbers must not change between the two reads
-    rows = Scratch(base.sparkSession).keep(base.withColumn("_row", F.monotonically_increasing_id()), "judged")
-    words = rows.select("_row", F.explode("_words").alias("w")).groupBy("_row", "w").agg(F.count(F.lit(1)).alias("n"))
+    """Adds ``_best`` by a join of each text's distinct common words with the references, whatever their number."""
+    words = base.select("_row", F.explode("_common").alias("w")).groupBy("_row", "w").agg(F.count(F.lit(1)).alias("n"))
     places = refs.select("lang", F.posexplode("words").alias("k", "w"))
     pairs = words.join(places, "w").groupBy("_row", "lang").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
-    pairs = pairs.join(refs, "lang").join(rows.select("_row", "n_words", "_shares"), "_row")
+    pairs = pairs.join(refs, "lang").join(base.select("_row", "n_words", "_shares"), "_row")
     found = F.transform("words", lambda w, k: F.coalesce(F.col("m")[k], F.lit(0)).cast("double"))
-    pairs = pairs.withColumn("_f", found).withColumn("_s", _total(F.col("_f"))).withColumn("r", _verdict(F.col("_f"), F.col("_s"), F.col("shares"), F.col("classes"), F.col("share"), F.col("_shares")))
+    ref = F.struct("shares", "classes", "share")
+    pairs = pairs.withColumn("_f", found).withColumn("_s", _total(F.col("_f"))).withColumn("r", _verdict(F.col("_f"), F.col("_s"), ref))
     best = pairs.groupBy("_row").agg(F.max(_ordered(F.col("r"))).alias("_best"))
     own = refs.select(F.col("lang").alias("_lang"), F.lit(True).alias("_own"))
-    return rows.join(best, "_row", "left").join(own, "_lang", "left")
+    return base.join(best, "_row", "left").join(own, "_lang", "left")
 
 
-def judge(docs: DataFrame, refs: DataFrame, keep: list[str]) -> DataFrame:
+def verdicts(base: DataFrame, refs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, the base counts, base_failed, class_divergence, common_divergence, common_share and kept."""
-    base = base_counts(docs.withColumn("_lang", F.col("lang").cast("string")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = base.withColumn("base_failed", failed)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    counts = [*_COUNTS, "base_failed"]
     some = refs.orderBy("lang").limit(LANGUAGES + 1).collect()
     if not some:
         none = F.lit(None).cast("double")
         return base.select(*keep, *counts, none.alias("class_divergence"), none.alias("common_divergence"), none.alias("common_share"), (~F.col("base_failed")).alias("kept"))
-    base = _classes(base)
     base = _nearest_inline(base, [r.asDict() for r in some]) if len(some) <= LANGUAGES else _nearest_joined(base, refs)
     b = F.col("_best")["r"]
     # the base rules decide alone for a language without a reference
@@ -201,6 +228,12 @@ def judge(docs: DataFrame, refs: DataFrame, keep: list[str]) -> DataFrame:
     return base.select(*keep, *counts, b["classes"].alias("class_divergence"), F.when(b["enough"], b["common"]).alias("common_divergence"), F.coalesce(b["share"], F.lit(0.0)).alias("common_share"), (~F.col("base_failed") & good).alias("kept"))
 
 
+def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """verdicts() of docs(text, lang, and the columns ``keep``) by the references of their own languages."""
+    found = Scratch(docs.sparkSession).keep(candidates(docs), "candidates")
+    base = measured(docs, found, keep)
+    return verdicts(base, references(base, found), keep)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs, references(docs), ["doc_id"])
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
