@@ -369,6 +369,86 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.matches(docs, items).count() == 0 and decontaminate.matches(none, items).count() == 0
 
 
+def _brute_found(docs, items):
+    """Benchmark items found in documents, by plain Python: the three forms of an item, windows, alignments, consistent slots."""
+    edge = ".,;:!?\"'()[]{}"
+
+    def template(text):
+        raw = [(m.group(), m.start()) for m in WORD.finditer(text or "")]
+        out = []
+        for k, (w, at) in enumerate(raw):
+            x = w
+            for _ in range(3):
+                x = x[1:] if len(x) > 1 and x[0] in edge else x
+                x = x[:-1] if len(x) > 1 and x[-1] in edge else x
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+            fresh = k == 0 or raw[k - 1][0][-1] in ".!?:" or text[at - 1] == "\n"
+            number = x[0] in "0123456789" or (len(x) > 1 and x[1] in "0123456789" and x[0] in "-$+")
+            kind = "num" if number else "unit" if k and out[-1][0] == "num" and not fresh and low in decontaminate.UNITS else "name" if "A" <= x[0] <= "Z" and not fresh else None
+            out.append((kind, low))
+        return out
+
+    def windows(form, size, plain):
+        key = lambda x: ("lit", x[1]) if plain or x[0] is None else (x[0], None)
+        ok = lambda k: plain or size < 8 or 2 * sum(x[0] is None for x in form[k : k + size]) >= size
+        return {k: tuple(map(key, form[k : k + size])) for k in range(len(form) - size + 1) if ok(k)}
+
+    found = set()
+    for item, text in items:
+        t = template(text)
+        if not t:
+            continue
+        size = min(8, len(t))
+        forms = [(t, False), (t, True)]
+        if t[0][0] is None and text.lstrip(" \t\n" + edge)[:1].isupper():
+            forms.append(([("name", t[0][1]), *t[1:]], False))
+        for form, plain in forms:
+            if not plain and size < 8 and 2 * sum(x[0] is None for x in form) < size:
+                continue
+            mine = windows(form, size, plain)
+            for row, (doc, body) in enumerate(docs):
+                d = template(body)
+                at = collections.defaultdict(list)
+                for k, x in (windows(d, size, plain) if size == 8 else {k: tuple(("lit", y[1]) if plain or y[0] is None else (y[0], None) for y in d[k : k + size]) for k in range(len(d) - size + 1)}).items():
+                    at[x].append(k)
+                starts = collections.defaultdict(set)
+                for k, x in mine.items():
+                    for p in at[x]:
+                        starts[p - k].add(k)
+                covered = set()
+                for s, ks in starts.items():
+                    pairs = {(form[k + j][1], d[s + k + j][1]) for k in ks for j in range(size) if not plain and form[k + j][0]}
+                    if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                        covered |= ks
+                if mine and len(covered) >= decontaminate.SHARE * len(mine):
+                    found.add((doc, item))
+    return found
+
+
+def test_decontaminate_by_brute_force(spark, none):
+    rng = random.Random(9)
+    vocabulary = "river old station near market train walks farmer sells apples bread price total how many does the of and with after before small large city".split()
+
+    def question():
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(4, 40))]
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(["Alice", "Bob", "Rome", "12", "3.5", "$40", "7 km", "900 grams"])
+        return (" ".join(w)).capitalize() + "?"
+
+    items = [(i, question()) for i in range(40)] + [(90, None), (91, ""), (92, "Paris"), (0, "What is the capital of France?")]
+    other = lambda t: re.sub("Alice", "Carol", re.sub("Bob", "Dave", re.sub(r"\b12\b", "75", t)))
+    docs = []
+    for i, (_, t) in enumerate(items):
+        t = t or "nothing"
+        pad = lambda: " ".join(rng.choice(vocabulary) for _ in range(12))
+        docs += [(10 * i, f"{pad()}, {t} {pad()}"), (10 * i + 1, f"{pad()}. {other(t)}"), (10 * i + 2, t.upper()), (10 * i + 3, pad()), (10 * i + 4, " ".join(rng.sample(t.split(), len(t.split()))))]
+    docs += [(None, items[3][1]), (10, items[4][1]), (10, pad()), (5, None), (6, ""), docs[0], docs[0]]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x")))
+    found = [(r["doc_id"], r["item_id"]) for r in got.collect()]
+    assert set(found) == _brute_found(docs, items) and len(found) == len(set(found)) > 100
+    assert decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), none.selectExpr("doc_id AS item_id", "text")).count() == 0
+
+
 def test_language(spark, none):
     rng = random.Random(1)
     kinds = {"aa": ["thorin", "belgar", "the", "and"], "bb": ["mucho", "estado", "el", "una"]}
