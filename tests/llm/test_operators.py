@@ -459,27 +459,126 @@ def test_language(spark, none):
     assert language.train(none) == {} and language.predict(none, {}, "doc_id").count() == 0
 
 
-def test_mixer(docs, none):
+def _plain_scores(rows):
+    """score of (text, train) rows by plain loops over tokens; only spellings come from the operator's functions."""
+    import numpy as np
+
+    token = lambda t: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
+    docs = [(token(t), f) for t, f in rows]
+    context = lambda x, k: (x[k - 2] if k > 1 else None, x[k - 1] if k else None)
+    c, grams, spelt = collections.Counter(), collections.defaultdict(collections.Counter), collections.Counter()
+    for x, f in docs:
+        if f:
+            c.update(x)
+            for k, w in enumerate(x):
+                grams[context(x, k)][w] += 1
+    tables = [np.zeros(2 * n, np.uint32) for n in mixer.CONTEXTS.values()]
+    mixer.count([w.encode() for w in c if c[w] == 1], tables)
+    spelling = [(mixer.logits(t), mixer.gates(t)) for t in tables]
+    spelt = lambda w: float(np.exp(mixer.word_scores([w.encode()], spelling)[0]))
+    cells = np.zeros((mixer.SHAPE[0] * mixer.SHAPE[1], 2))
+    cell = lambda n, m: int(mixer._bin(np.array([n]), np.array([m]))[0])
+    for g in grams.values():
+        n, m = sum(g.values()), len(g)
+        for v in g.values():
+            if v > 1:
+                cells[cell(n - 1, m), 1] += v
+            elif n > 1:
+                cells[cell(n - 1, m - 1), 0] += 1
+    total = sum(c.values())
+    new = min(max(sum(v == 1 for v in c.values()) / total, 1e-4), 0.9) if total else 1.0
+    logit = lambda x: math.log((sum(x) + 0.5) / (len(x) - sum(x) + 0.5))
+    bits = lambda v, least: min(max(math.frexp(v)[1] - least, 0), mixer.GATES - 1)
+
+    class Mixer:
+        def __init__(self, name):
+            self.w, self.held = collections.defaultdict(lambda: list(mixer.START[name])), []
+
+        def mix(self, a, b, x, gate):
+            if len(self.held) == mixer.BLOCK:
+                for g, e, y in self.held:
+                    self.w[g] = [v + mixer.RATE * e * z for v, z in zip(self.w[g], y)]
+                self.held = []
+            x = [*x, 1.0]
+            w = 1 / (1 + math.exp(-min(max(sum(map(lambda u, v: u * v, self.w[gate], x)), -9), 9)))
+            p = w * a + (1 - w) * b
+            self.held.append((gate, w * a / p - w, x))
+            return p
+
+    out = []
+    for x, f in docs:
+        own = collections.Counter(x) if f else {}
+        mine = collections.defaultdict(collections.Counter)
+        if f:
+            for k, w in enumerate(x):
+                mine[context(x, k)][w] += 1
+        low, high, so_far, worth, hits, score = Mixer("C"), Mixer("A"), collections.Counter(), [], [], 0.0
+        for k, w in enumerate(x):
+            known = c[w] - own.get(w, 0)
+            word = (1 - new) * known / total if known > 0 else new * spelt(w)
+            share = so_far[w] / max(k, 1)
+            prior = min(max(mixer.CACHE * k / (k + mixer.WARM), 1e-3), 0.5)
+            p = low.mix(share, word, [math.log(prior / (1 - prior)), logit(worth[-16:]), logit(worth[-128:])], bits(k / 16, 0))
+            p = p if k else word
+            worth.append(share / (share + word))
+            g, m = grams.get(context(x, k), {}), mine[context(x, k)]
+            seen = sum(g.values()) - sum(m.values())
+            if seen > 0:
+                many = max(len(g) - sum(g[v] == n for v, n in m.items()), 1)
+                right = g.get(w, 0) - m.get(w, 0)
+                z = cells[cell(seen, many)]
+                p = high.mix(right / seen, p, [math.log((z[1] + 0.5) / (z[0] + 0.5)), logit(hits[-8:]), logit(hits[-64:])], bits(seen, 1))
+                hits.append(float(right > 0))
+            so_far[w] += 1
+            score += math.log10(p)
+        out.append(score)
+    return out
+
+
+def test_mixer(spark, docs, none):
     train = docs.withColumn("train", F.col("doc_id") % 3 != 0)
     token = lambda t: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     c = collections.Counter(x for i, t in texts() if i % 3 for x in token(t))
     n, v = sum(c.values()), len(c)
-    for r in mixer.score_documents(train).collect():
+    one = spark.createDataFrame(train.select("doc_id", "text", "train").collect(), "doc_id long, text string, train boolean").coalesce(1)
+    want = dict(zip([i for i, _ in texts()], _plain_scores([(t, i % 3 != 0) for i, t in texts()])))
+    for r in mixer.score_documents(one).collect():
         x = token(dict(texts())[r["doc_id"]])
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(x), sum(c[y] > 0 for y in x), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[y] + 0.5) / (n + 0.5 * (v + 1))) for y in x))
-        assert r["score"] < 0
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-6)
     assert mixer.score_documents(none.withColumn("train", F.lit(True))).count() == 0
+    bare = mixer.score_documents(docs.withColumn("train", F.lit(False))).collect()
+    assert len(bare) == len(texts()) and all(r["base_score"] == 0 and r["train_tokens"] == 0 and r["score"] < 0 for r in bare)
 
 
-def test_model_is_a_distribution():
-    """All continuations of a prefix have probabilities that add up to one."""
-    tables = [mixer.logits((bytes_ % 7).astype("uint32")) for bytes_ in (__import__("numpy").arange(2 * n) for n in mixer.CONTEXTS.values())]
-    np = __import__("numpy")
-    gates = np.zeros(mixer.CONTEXTS["word"], np.int8)
-    weights = np.tile(np.array(mixer.WEIGHTS), (len(mixer.EVIDENCE) + 1, 1))
-    word = mixer.word_scores([bytes([b]) for b in range(256) if b != 32], tables, gates, weights)
-    assert np.exp(word).sum() < 1
+def test_mixer_scores_do_not_depend_on_dealing(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(200)]
+    rows = [(i % 40 if i % 7 else None, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 90))), i % 4 != 0) for i in range(120)]
+    rows += [(1, "same text " * 30, True)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    key = lambda df: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["train"]) for r in df.collect())
+    whole = mixer.score_documents(docs.coalesce(1))
+    cut = mixer.score_documents(docs.repartition(5))
+    assert key(whole) == key(cut)
+    # spellings are counted by piece, all else is exact: no unknown words here
+    assert sorted(round(r["score"], 4) for r in whole.where("n_known = n_tokens").collect()) == pytest.approx(sorted(round(r["score"], 4) for r in cut.where("n_known = n_tokens").collect()), rel=1e-2)
+
+
+def test_mixer_beats_the_base_score_on_held_out_documents(spark):
+    out = mixer.op3_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert out["s"] > 0.9 * out["b"]
+
+
+def test_spelling_is_a_distribution():
+    """The words of one byte, and the continuations of one, have probabilities that add up to less than one."""
+    import numpy as np
+
+    tables = [(mixer.logits((np.arange(2 * n) % 7).astype(np.uint32)), mixer.gates((np.arange(2 * n) % 7).astype(np.uint32))) for n in mixer.CONTEXTS.values()]
+    for head in (b"", b"a"):
+        word = mixer.word_scores([head + bytes([b]) for b in range(256) if b != 32], tables)
+        assert 0 < np.exp(word).sum() < 1
 
 
 def test_chat(spark):
