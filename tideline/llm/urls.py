@@ -1,13 +1,16 @@
 """URL filters (operator 2): explicit host and path rules, then association rules mined by FP-growth. DataFrame functions only.
 
-An explicit rule fits its host and all subdomains, if the path starts with the rule's; the longest wins. A url that none
-fits is judged by the method: from labelled pages (labels.doc_id is the page's id; quality 0 or toxic 1 is bad) Spark's
-FP-growth mines combinations of at most a url's tokens (host suffixes, path segments, query names; numbers and file
-endings left out) that imply a bad page with CONFIDENCE, in MIN_PAGES pages at least. A rule is indexed under its rarest
-token; a url that has this token is checked for the others. Urls are judged once each, whatever number of pages has them.
-
-A null url, or one without ``://``, has an empty host and path and no tokens: allowed. Repeated rows are judged alike.
-Without labels no rule is mined. Other columns are ignored.
+An explicit rule fits its host and all subdomains, if the path starts with the rule's; the longest wins (of equally long ones
+the later). A url that none fits is judged by the method. Labels are of documents; a page shows the document whose id is the
+number that ends its url's path, and is bad if that has quality 0 or is toxic. From the bad pages Spark's FP-growth mines
+frequent combinations of tokens (host suffixes, path segments, query names; numbers and file endings left out). A
+combination is a rule if MIN_PAGES bad pages at least have it, it is bad in CONFIDENCE of all labelled pages that have it and
+LIFT times as often as a labelled page is, and no part of it is a rule. A rule is indexed under its rarest token; a
+url that has this token is checked for the others. Urls are judged once each, whatever number of pages has them.
+
+A null url, or one without ``://``, has an empty host and path and no tokens: allowed. Repeated rows are judged alike, and
+count as pages of their own. A document with several labels is bad if one of them says so; null labels say nothing. Without
+labels no rule is mined. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ from tideline.llm.common import table
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 CONFIDENCE = 0.8
+LIFT = 1.5
+#: Least share of the bad pages that have a rule's tokens, and their least number.
 SUPPORT = 0.002
 MIN_PAGES = 20
-BAD = "@bad"
+#: The document that a page shows.
+DOCUMENT = r"/([0-9]{1,18})/?(?:\.\w+)?$"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,24 +61,36 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda t: ~t.rlike(r"^(path|query):[0-9]*$")))
 
 
+def _having(urls: DataFrame, sets: DataFrame) -> DataFrame:
+    """urls(tokens, ...) joined with each of sets(antecedent) whose tokens it all has, through an inverted index of the sets' rarest tokens."""
+    needed = sets.select("antecedent", F.explode("antecedent").alias("token"))
+    found = urls.withColumn("token", F.explode("tokens"))
+    often = found.join(needed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    index = needed.join(often, "token", "left").groupBy("antecedent").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    return found.join(index, "token").where(F.size(F.array_intersect("tokens", "antecedent")) == F.size("antecedent")).drop("token")
+
+
 def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(antecedent array, confidence) of rules for bad pages, from pages(page_id, tokens) and labels(doc_id, quality, toxic)."""
-    bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    marked = pages.join(bad, pages.page_id == bad.doc_id).select(F.concat("tokens", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    n = marked.count()
-    if not n:
-        return pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(SUPPORT, MIN_PAGES / n)), minConfidence=CONFIDENCE).fit(marked)
-    return model.associationRules.where(F.col("consequent")[0] == BAD).select("antecedent", "confidence")
+    """(antecedent array, confidence, support) of rules for bad pages, from pages(path, tokens) and labels(doc_id, quality, toxic)."""
+    bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+    shown = F.regexp_extract("path", DOCUMENT, 1)
+    marked = pages.select("tokens", F.when(shown != "", shown.cast("long")).alias("d")).join(bad, "d").select("tokens", "bad")
+    n, n_bad = marked.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    none = pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support long")
+    if n_bad < MIN_PAGES:
+        return none
+    model = FPGrowth(itemsCol="tokens", minSupport=max(SUPPORT, MIN_PAGES / n_bad)).fit(marked.where("bad").select("tokens"))
+    # a host's suffixes contain each other: one of them says it all
+    sets = model.freqItemsets.select(F.sort_array("items").alias("antecedent"), "freq").where(F.size(F.filter("items", lambda t: t.startswith("host:"))) <= 1)
+    totals = _having(marked, sets).groupBy("antecedent").agg(F.count_if("bad").alias("support"), F.count(F.lit(1)).alias("total"))
+    sure = totals.select("antecedent", (F.col("support") / F.col("total")).alias("confidence"), "support").where((F.col("confidence") >= CONFIDENCE) & (F.col("confidence") >= LIFT * n_bad / n))
+    larger = _having(sure.select(F.col("antecedent").alias("tokens")), sure.select("antecedent")).where(F.size("tokens") > F.size("antecedent")).select(F.col("tokens").alias("antecedent")).distinct()
+    return sure.join(larger, "antecedent", "left_anti")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct urls that some rule fits, from urls(url, tokens), through an inverted index of the rules' rarest tokens."""
-    needed = rules.select("antecedent", F.explode("antecedent").alias("token"))
-    found = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    often = found.join(needed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    index = needed.join(often, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    return found.join(index, "token").where(F.size(F.array_intersect("tokens", "antecedent")) == F.size("antecedent")).select("url").distinct()
+    """The distinct urls that some rule fits, from urls(url, tokens)."""
+    return _having(urls.select("url", "tokens"), rules.select("antecedent")).select("url").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -83,7 +101,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     pages = pages.withColumn("tokens", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(tokens(url, F.col("host"), F.col("path"))))
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
     judged = pages.withColumn("rule", rule).withColumn("fixed", verdict)
-    mined = mine(pages.select("page_id", "tokens"), labels)
+    mined = mine(pages.select("path", "tokens"), labels)
     open_ = judged.where("fixed is null and url is not null").groupBy("url").agg(F.first("tokens").alias("tokens"))
     hit = matched(open_, mined).select(F.col("url").alias("u"))
     out = judged.join(hit, F.col("url") == F.col("u"), "left")
