@@ -584,9 +584,22 @@ def test_spelling_is_a_distribution():
 def test_chat(spark):
     for t in ("</s>[INST] ok [/INST]", "a\\b<|end|>\n<|turn|>x", "", "\\", "<\\s>"):
         assert chat.parse(chat.piece("user", t) + chat.piece(t, "y")) == [("user", t), (t, "y")]
-    records = [(1, '{"prompt": "p", "completion": "c"}'), (2, '{"messages": [{"role": "user", "content": "u"}]}'), (3, '{"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}'), (4, "{"), (5, None), (6, '{"odd": 1}')]
-    got = [tuple(r) for r in chat.canonical_turns(spark.createDataFrame(records, "conv_id long, record string")).select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn").collect()]
-    assert got == [(1, 0, "user", "p"), (1, 1, "assistant", "c"), (2, 0, "user", "u"), (3, 0, "user", "h"), (3, 1, "assistant", "g"), (4, None, None, None), (5, None, None, None), (6, None, None, None)]
+    records = {
+        1: ('{"prompt": "p", "completion": "c", "id": 7, "meta": {"text": "x"}}', [("user", "p"), ("assistant", "c")]),
+        2: ('{"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": null}, {"content": "z"}]}', [("user", "u"), ("assistant", ""), ("", "z")]),
+        3: ('{"system": "s", "conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}', [("system", "s"), ("user", "h"), ("assistant", "g")]),
+        4: ('{"instruction": "i", "input": "more", "output": {"a": 1}}', None),
+        5: ('{"instruction": "i", "input": "more", "output": "o", "system": ""}', [("user", "i\nmore"), ("assistant", "o")]),
+        6: ('{"data": {"messages": [{"role": "bot", "content": "b"}]}, "messages_count": 1}', [("assistant", "b")]),
+        7: ("{", None), 8: (None, None), 9: ('{"odd": 1}', None), 10: ('{"messages": []}', None), 11: ("[]", None), 12: ("3", None),
+    }
+    frame = spark.createDataFrame([(k, r, "x") for k, (r, _) in records.items()], "conv_id long, record string, text string")
+    got = [tuple(r) for r in chat.canonical_turns(frame).select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn").collect()]
+    assert got == [(k, *t) for k, (_, turns) in records.items() for t in ([(None, None, None)] if turns is None else [(i, *t) for i, t in enumerate(turns)])]
+    assert chat.digests(chat.format_turns(chat.canonical_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
+    long = "word [INST] " * 200_000
+    r = chat.digests(chat.format_turns(chat.canonical_rows(spark.createDataFrame([(None, 0, "assistant", long)] * 2, "conv_id long, turn long, role string, text string")))).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, 2 * len(long), hashlib.sha256(2 * long.encode()).hexdigest())
     turns = spark.createDataFrame([(1, 0, "user", None, "x"), (1, 1, "assistant", "hé", "y")], "conv_id long, turn long, role string, text string, formatted string")
     r = chat.digests(chat.format_turns(chat.canonical_rows(turns))).first()
     assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, 2, hashlib.sha256("hé".encode()).hexdigest())
@@ -608,11 +621,61 @@ def test_warc(spark):
 def test_urls(spark):
     rows = [(1, "https://X.com/a"), (2, "http://b.example.com/en/1"), (3, "https://www.example.com/en/"), (4, "x://net/fr/?q"), (5, None), (6, "nothing"), (7, "http://com"), (8, "http://spam.org/buy/7"), (9, "http://ok.org/buy")]
     pages = spark.createDataFrame(rows + [(k, f"http://spam.org/buy/{k}") for k in range(100, 160)], "page_id long, url string")
-    labels = spark.createDataFrame([(k, 0, 0) for k in range(100, 160)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(100, 160)] + [(k, 1, 0) for k in range(1000, 1100)], "doc_id long, quality int, toxic int")
+    pages = pages.unionByName(spark.createDataFrame([(k, f"http://fine.org/read/{k}") for k in range(1000, 1100)], "page_id long, url string"))
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, labels).collect()}
     assert [got[k] for k in range(1, 8)] == [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/fr/", "block"), (None, "allow"), (None, "allow"), (None, "allow")]
     assert got[8] == (None, "block")
     assert urls.judge(pages, labels.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+    assert urls.judge(pages.limit(0), labels).count() == 0
+
+
+def test_urls_rules_of_several_tokens_decide(spark):
+    """Pages are bad where a host and a path meet; rules and verdicts equal a plain search through all combinations."""
+    import itertools
+
+    rng = random.Random(12)
+    hosts, paths, names = ["a.site.org", "b.site.org", "shop.other.org", "m.other.org"], ["buy", "read", "list"], ["ref", "page", "id"]
+    pages, labels = [], []
+    for k in range(1500):
+        h, p, q = rng.choice(hosts), rng.choice(paths), rng.choice([*names, None])
+        bad = (h.endswith("other.org") and p == "buy") or (h == "a.site.org" and q == "ref" and p == "list")
+        pages.append((k, f"http://{h}/{p}/{k}.html" + (f"?{q}=1" if q else "")))
+        if k % 3:
+            labels.append((k, 0 if bad != (rng.random() < 0.04) else 1, None))
+    labels += labels[:5] + [(None, 0, 1), (5000, 0, 1)]
+    extra = [(None, None), (9000, "http://m.other.org/buy/"), (9001, "http://m.other.org/buy/"), (9002, "http://m.other.org/read/"), (9003, "ftp://a.site.org/list/?ref"), (9004, "http://a.site.org/list/?page=1")]
+    frame = spark.createDataFrame([(i, u, 0) for i, u in pages + extra], "page_id long, url string, doc_id long")
+
+    def tokens(u):
+        if not u:
+            return frozenset()
+        host, _, rest = u.split("://", 1)[1].partition("/")
+        path, _, query = rest.partition("?")
+        parts = host.split(".")
+        out = {"host:" + ".".join(parts[k:]) for k in range(len(parts))}
+        out |= {"path:" + re.sub(r"\.\w+$", "", x) for x in ("/" + path).split("/")} | {"query:" + x.split("=")[0] for x in query.split("&")}
+        return frozenset(t for t in out if not re.fullmatch("(path|query):[0-9]*", t))
+
+    bad = {}
+    for d, q, t in labels:
+        bad[d] = bad.get(d, False) or q == 0 or t == 1
+    marked = [(tokens(u), bad[i]) for i, u in pages if i in bad]
+    n, n_bad = len(marked), sum(b for _, b in marked)
+    count = collections.defaultdict(lambda: [0, 0])
+    for t, b in marked:
+        for k in range(1, 6):
+            for x in itertools.combinations(sorted(t), k):
+                if sum(y.startswith("host:") for y in x) <= 1:
+                    count[frozenset(x)][b] += 1
+    least = max(urls.MIN_PAGES, urls.SUPPORT * n_bad)
+    sure = {x for x, (good, b) in count.items() if b >= least and b >= urls.CONFIDENCE * (good + b) and b / (good + b) >= urls.LIFT * n_bad / n}
+    rules = {x for x in sure if not any(y < x for y in sure)}
+    assert any(len(x) > 1 for x in rules)
+    want = {i: "block" if any(x <= tokens(u) for x in rules) else "allow" for i, u in pages + extra}
+    got = urls.judge(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("url", F.lit("x"))).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == want and len(got) == len(pages) + len(extra) and {r["rule"] for r in got} == {None}
+    assert want[9000] == "block" and want[9002] == "allow" and want[9003] == "block" and want[9004] == "allow"
 
 
 def test_pipeline(spark, tmp_path):

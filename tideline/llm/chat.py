@@ -1,7 +1,8 @@
 """Chat formatting (operator 6): layouts told apart by schema fingerprints, turned into canonical turns and a template.
 
-A *fingerprint* is a hash of a record's nested field paths (lists as ``[]``). It selects a declarative mapping, so that
-prompt, instruction and message layouts need no code of their own. Canonical turns are rows (conv_id, turn, role, text).
+A *fingerprint* is a hash of those of a record's nested field paths (lists as ``[]``) that some layout uses; further fields
+don't change it. It selects a declarative mapping, so that prompt, instruction and message layouts need no code of their
+own. Canonical turns are rows (conv_id, turn, role, text).
 
 The template writes a turn as ``<|turn|>role<|text|>text<|end|>`` and a newline. In roles and texts every backslash is doubled and
 every control string (this template's and common ones of others) gets a backslash after its first character; parse()
@@ -9,8 +10,9 @@ undoes both. The loss mask covers the text of assistant turns.
 
 Formatting is a narrow map over turns. The digests of a conversation are folded while its turns stream by in order of
 (turn, role, text), so its length is bounded by nothing. A null text or role is empty. Turns of a null conv_id are
-one conversation. Repeated rows are repeated turns. A JSON record that is null, damaged or of an unknown layout gives one
-row with a null turn and its fingerprint, so nothing is lost silently. Other columns are ignored.
+one conversation. Repeated rows are repeated turns. A JSON record that is null, damaged, of an unknown layout or without turns
+gives one row with a null turn and its fingerprint, so nothing is lost silently. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,19 +37,25 @@ _PIECE = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*?)" + re.e
 
 #: (name, field paths, mapping). "turns": (role, path) pairs, empty texts left out if optional; "each": a list of messages
 #: with its fields for role and text; "rows": the input has a row for each turn.
-LAYOUTS = (
-    ("rows", ("role", "text", "turn"), {"rows": ("turn", "role", "text")}),
-    ("prompt", ("completion", "prompt"), {"turns": (("user", "prompt"), ("assistant", "completion"))}),
-    ("response", ("prompt", "response"), {"turns": (("user", "prompt"), ("assistant", "response"))}),
-    ("question", ("answer", "question"), {"turns": (("user", "question"), ("assistant", "answer"))}),
-    ("instruction", ("instruction", "output"), {"turns": (("user", "instruction"), ("assistant", "output"))}),
-    ("instruction with input", ("input", "instruction", "output"), {"turns": (("user", "instruction", "input"), ("assistant", "output"))}),
-    ("instruction with system", ("instruction", "output", "system"), {"turns": (("system", "system"), ("user", "instruction"), ("assistant", "output"))}),
-    ("messages", ("messages[].content", "messages[].role"), {"each": ("messages", "role", "content")}),
-    ("nested messages", ("data.messages[].content", "data.messages[].role"), {"each": ("data.messages", "role", "content")}),
-    ("conversations", ("conversations[].from", "conversations[].value"), {"each": ("conversations", "from", "value")}),
-    ("system and conversations", ("conversations[].from", "conversations[].value", "system"), {"turns": (("system", "system"),), "each": ("conversations", "from", "value")}),
-)
+_PAIRS = (("prompt", "completion"), ("prompt", "response"), ("question", "answer"), ("instruction", "output"), ("instruction", "response"))
+_LISTS = (("messages", "role", "content"), ("data.messages", "role", "content"), ("conversation", "role", "content"), ("conversations", "from", "value"))
+_SYSTEM = ("system", "system")
+
+
+def _layouts() -> Iterator[tuple[str, tuple[str, ...], dict]]:
+    yield "rows", ("role", "text", "turn"), {"rows": ("turn", "role", "text")}
+    for system in ((), ("system",)):
+        lead = (_SYSTEM,) if system else ()
+        for ask, reply in _PAIRS:
+            for more in ((), ("input",)):
+                yield f"{ask} and {reply}", (ask, reply, *more, *system), {"turns": (*lead, ("user", ask, *more), ("assistant", reply))}
+        for where, role, text in _LISTS:
+            # a list without messages is a leaf
+            for paths in ((f"{where}[].{role}", f"{where}[].{text}"), (where,)):
+                yield where, (*paths, *system), {"turns": lead, "each": (where, role, text)}
+
+
+LAYOUTS = tuple(_layouts())
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -56,6 +64,9 @@ def fingerprint(paths) -> str:
 
 
 MAPPINGS = {fingerprint(paths): (name, mapping) for name, paths, mapping in LAYOUTS}
+#: The paths that records, and tables with a row for each turn, are told apart by.
+RECORD_PATHS = {p for _, paths, mapping in LAYOUTS if "rows" not in mapping for p in paths}
+ROW_PATHS = {p for _, paths, mapping in LAYOUTS if "rows" in mapping for p in paths}
 
 
 def paths_of(value, at: str = "") -> Iterator[str]:
@@ -93,9 +104,9 @@ def _text(x) -> str:
 
 def turns_of(value) -> tuple[str, list[tuple[str, str]] | None]:
     """(fingerprint, canonical turns) of a JSON record; None if its layout is unknown."""
-    mark = fingerprint(paths_of(value))
+    mark = fingerprint(RECORD_PATHS.intersection(paths_of(value)))
     _, mapping = MAPPINGS.get(mark, ("", None))
-    if mapping is None or "rows" in mapping:
+    if mapping is None:
         return mark, None
     out = []
     for role, *sources in mapping.get("turns", ()):
@@ -104,8 +115,10 @@ def turns_of(value) -> tuple[str, list[tuple[str, str]] | None]:
             out.append((role, text))
     if "each" in mapping:
         where, role, text = mapping["each"]
-        out += [(ROLES.get(_text(m.get(role)), _text(m.get(role))), _text(m.get(text))) for m in _at(value, where)]
-    return mark, out
+        # a message may lack a field, or be no object at all: then it is one text without a role
+        messages = [m if isinstance(m, dict) else {text: m} for m in _at(value, where) or ()]
+        out += [(ROLES.get(_text(m.get(role)), _text(m.get(role))), _text(m.get(text))) for m in messages]
+    return mark, out or None
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
@@ -129,12 +142,12 @@ def canonical_turns(records: DataFrame) -> DataFrame:
 def canonical_rows(df: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) of a table that has a row for each turn; its layout is found by fingerprint."""
     have = set(schema_paths(df.schema))
-    for _, paths, _ in LAYOUTS:
-        mapping = MAPPINGS[fingerprint(have & set(paths))][1] if have >= set(paths) else {}
-        if "rows" in mapping:
-            turn, role, text = mapping["rows"]
-            return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    raise ValueError(f"unknown layout: {sorted(have)}")
+    _, mapping = MAPPINGS.get(fingerprint(have & ROW_PATHS), ("", {}))
+    if "rows" not in mapping or "conv_id" not in have:
+        raise ValueError(f"unknown layout: {sorted(have)}")
+    turn, role, text = mapping["rows"]
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), plain(role).alias("role"), plain(text).alias("text"))
 
 
 def escape(text: str) -> str:
