@@ -1,15 +1,17 @@
 """Language ID (operator 5): classification by compression against per-language zstandard raw-content dictionaries.
 
-Training: of the documents given, each language gets one dictionary, the concatenation of whole sampled texts. The
-sample is bounded: for each language and each of SLOTS hash slots, the text with the least hash of its content among
-those of SAMPLE_CHARS characters (or, in a slot that has none, any), joined up to DICTIONARY_BYTES. It depends on texts
-and languages alone, and is computed by one aggregation that combines on the map side. Pieces of one half of the sample
-that the other half's dictionaries take for another language (quotations, mixed texts) are left out.
+Training: of the documents given, each language gets one dictionary, the concatenation of sampled texts. The sample is
+bounded: for each language and each of SLOTS hash slots, the text with the least hash of its content among those of
+SAMPLE_CHARS characters (or, in a slot that has none, any, of which as much as a dictionary holds), joined up to
+DICTIONARY_BYTES, or less where more languages share MODEL_BYTES. It depends on texts and languages alone, and is computed by
+one aggregation that combines on the map side. Pieces of one half of the sample that the other half's dictionaries take for
+another language (quotations, mixed texts) are left out.
 
 Prediction: a whole text is compressed against each dictionary; the smallest output wins, ties go to the first language
 by name. score is a soft maximum over the bits per byte. ``rejected`` tells that the margin to the runner-up is below
 MARGIN (short or mixed texts); lang_pred stays the best guess. A null text, or one without a letter, is ``und`` with
-score 0. Without a training document of a known language every text is ``und``. Extra columns are ignored.
+score 0. Without a training document of a known language every text is ``und``. Repeated rows are predicted alike; a null
+doc_id is like any other. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import lean, table
 
 SLOTS = 64
 SAMPLE_CHARS = (500, 4000)
 DICTIONARY_BYTES = 96 * 1024
-#: Languages that a model may have; more than these are refused, as all dictionaries are broadcast (30 MB at most).
-LANGUAGES = 320
+#: All dictionaries are broadcast: what they take together. A lang column of more than LANGUAGES values is taken for something else, and refused.
+MODEL_BYTES = 30 << 20
+LANGUAGES = 20_000
 LEVEL = 9
 MARGIN = 0.01
 SHARPNESS = 12.0
@@ -51,18 +54,19 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language, from docs(text, lang)."""
     text = F.col("text")
     usual = F.length("text").between(*SAMPLE_CHARS)
-    rows = docs.where("text is not null and lang is not null and text <> ''").select("lang", "text", F.pmod(F.xxhash64(text, F.lit(1)), F.lit(SLOTS)).alias("slot"), F.struct(F.when(usual, 0).otherwise(1).alias("odd"), F.xxhash64(text, F.lit(2)).alias("h")).alias("key"))
+    rows = docs.where("text is not null and lang is not null and text <> ''").select("lang", F.substring("text", 1, DICTIONARY_BYTES).alias("text"), F.pmod(F.xxhash64(text, F.lit(1)), F.lit(SLOTS)).alias("slot"), F.struct(F.when(usual, 0).otherwise(1).alias("odd"), F.xxhash64(text, F.lit(2)).alias("h")).alias("key"))
     names = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
     if names > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    most = min(DICTIONARY_BYTES, MODEL_BYTES // max(names, 1))
     halves: list[dict[str, list[bytes]]] = [{}, {}]
     for r in rows.groupBy("lang", "slot").agg(F.min(F.struct("key", "text")).alias("best")).orderBy("lang", "best.key.odd", "slot").toLocalIterator():
         texts = halves[r["slot"] % 2].setdefault(r["lang"], [])
-        if sum(map(len, texts)) < DICTIONARY_BYTES:
-            words = plain(r["best"]["text"]).split()
+        if sum(map(len, texts)) < most:
+            words = plain(r["best"]["text"][:most]).split()
             texts.extend(b" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE))
     # each half is judged by the other one's dictionaries: passages in another language go
-    judges = [classifier({k: b" ".join(v)[:DICTIONARY_BYTES] for k, v in h.items()}) for h in halves]
+    judges = [classifier({k: b" ".join(v)[:most] for k, v in h.items()}) for h in halves]
     out: dict[str, bytes] = {}
     for lang in sorted({*halves[0], *halves[1]}):
         kept: list[bytes] = []
@@ -70,7 +74,7 @@ def train(docs: DataFrame) -> dict[str, bytes]:
             texts = halves[i].get(lang, [])
             good = [t for t in texts if lang not in halves[1 - i] or judges[1 - i](t.decode(errors="ignore"))[0] == lang]
             kept += dict.fromkeys(good or texts)
-        out[lang] = b" ".join(kept)[:DICTIONARY_BYTES]
+        out[lang] = b" ".join(kept)[:most]
     return out
 
 
@@ -109,7 +113,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], *keep: str) -> Data
             made = [classify(t.as_py()) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
