@@ -360,6 +360,35 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(mixing.numbered(mixing.sizes(docs))).count() == len(texts())
 
 
+def test_mixing_targets_of_many_sources(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(60):02}" if k % 50 else None, rng.choice([0, 1, 5, 40, 900])) for k in range(300)] + [("empty", 0)]
+    sized = spark.createDataFrame(rows, "source string, size long")
+    want = sorted((str(r["source"]), r["source_size"], r["target"]) for r in mixing.targets(sized).collect())
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 3)
+    got = sorted((str(r["source"]), r["source_size"], r["target"]) for r in mixing.targets(sized).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    assert sum(t for *_, t in got) == pytest.approx(1.5 * sum(s for _, s in rows))
+    assert mixing.targets(sized.limit(0)).count() == 0
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", -1)
+    assert mixing.targets(sized.limit(0)).count() == 0
+
+
+def test_mixing_keeps_expectations(spark, monkeypatch):
+    """Over many seeds every document is taken as often as its rate says, and a source's words stay near its target."""
+    group = __import__("pandas").DataFrame({"doc_id": range(40), "row": range(40), "p": [0.3] * 40, "size": [float(1 + k % 7) for k in range(40)]})
+    taken, left = collections.Counter(), 0.0
+    for seed in range(400):
+        monkeypatch.setattr(mixing, "SEED", seed)
+        words = 0.0
+        for k, p, settled in mixing._round(group, 0):
+            taken[k] += p
+            words += p * group["size"][k]
+            assert not settled or p in (0.0, 1.0)
+        assert words == pytest.approx(0.3 * group["size"].sum())
+    assert all(abs(taken[k] / 400 - 0.3) < 0.12 for k in range(40))
+
+
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, "A train leaves at 60 km per hour and then Bob walks over 12 miles to the old station near the river"), (2, None), (3, "")], "item_id long, text string")
     same = "so A train leaves at 75 km per hour and then Alice walks over 9 miles to the old station near the river today"
@@ -535,6 +564,38 @@ def _plain_scores(rows):
     return out
 
 
+def test_language_on_held_out_documents(spark):
+    """Accuracy on documents that were not learned from; repeated rows, null ids and clashing columns change nothing."""
+    out = language.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = out.where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in held) > 0.97 * len(held) > 100 and all(0 <= r["score"] <= 1 for r in held)
+    rows = spark.createDataFrame([(None, "el estado una", "x", 0.5)] * 3, "doc_id long, text string, lang_pred string, score double")
+    model = {"es": b"el estado una mucho el la de los " * 40, "en": b"the state of a many that it was " * 40}
+    assert [(r["doc_id"], r["lang_pred"]) for r in language.predict(rows, model, "doc_id").collect()] == [(None, "es")] * 3
+
+
+def test_language_by_brute_force(spark):
+    """Every prediction is the smallest compression, by a plain loop."""
+    import zstandard
+
+    rng = random.Random(2)
+    model = {k: " ".join("".join(rng.choices(v, k=rng.randrange(2, 9))) for _ in range(3000)).encode() for k, v in (("a", "etaoin"), ("b", "shrdlu"), ("c", "cmfwyp"))}
+    made = [" ".join("".join(rng.choices(rng.choice(["etaoin", "shrdlu", "cmfwyp", "etashr"]), k=rng.randrange(2, 9))) for _ in range(rng.randrange(1, 400))) for _ in range(60)] + ["Et 12, AO!", "t" * 100_000]
+
+    def plain(t):
+        raw = "".join(c for c in t.lower() if not c.isdigit() and c.isalnum() or c == " ").encode()
+        sizes = {}
+        for k, d in model.items():
+            lead = b"" if len(raw) >= language.SHORT else d[-language.SHORT :]
+            press = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[k] = len(press.compress(lead + raw))
+        return min(sorted(sizes), key=sizes.get)
+
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(rows, model, "doc_id").collect()}
+    assert sum(got[i] == plain(t) for i, t in enumerate(made)) >= len(made) - 1  # a precomputed dictionary may break a tie otherwise
+
+
 def test_mixer(spark, docs, none):
     train = docs.withColumn("train", F.col("doc_id") % 3 != 0)
     token = lambda t: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import table
+from tideline.llm.common import lean, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = (TURN, TEXT, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -136,7 +136,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["conv_id", "turn", "role", "text", "layout"])
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("record").cast("string").alias("record")).mapInArrow(run, "conv_id long, turn long, role string, text string, layout string")
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("record").cast("string").alias("record")).mapInArrow(lean(run), "conv_id long, turn long, role string, text string, layout string")
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             stop = [None if s is None else len(m) - len(END) - 1 for s, m in zip(start, made, strict=True)]
             yield pa.RecordBatch.from_arrays([b["conv_id"], b["turn"], b["role"], b["text"], pa.array(made, pa.string()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=[x.split()[0] for x in PIECE.split(", ")])
 
-    return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, PIECE)
+    return turns.select("conv_id", "turn", "role", "text").mapInArrow(lean(run), PIECE)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -230,7 +230,7 @@ def digests(pieces: DataFrame) -> DataFrame:
             done()
             yield pack()
 
-    return pieces.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(run, DIGEST)
+    return pieces.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(lean(run), DIGEST)
 
 
 #: A conversation that quotes control strings, formatted with every run of the query.

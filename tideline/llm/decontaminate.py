@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import _BASE, _INV, _LOWER, BLANKS, buffers, inside, mix, packed, pieces, powers, table, unpacked, window_hashes, words_of
+from tideline.llm.common import _BASE, _INV, _LOWER, BLANKS, buffers, inside, lean, mix, packed, pieces, powers, table, unpacked, window_hashes, words_of
 
 WINDOW = 8
 SHARE = 0.6
@@ -134,7 +134,7 @@ def _bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
         yield pa.RecordBatch.from_pydict({"bits": pa.array([packed(bits)], pa.binary()), "sizes": pa.array([sorted(sizes)], pa.list_(pa.int32()))})
 
     bits, sizes = np.zeros(BITS // 8, np.uint8), set()
-    for r in windows.coalesce(8).mapInArrow(run, "bits binary, sizes array<int>").toLocalIterator():
+    for r in windows.coalesce(8).mapInArrow(lean(run), "bits binary, sizes array<int>").toLocalIterator():
         bits |= unpacked(bytes(r["bits"]), np.uint8)
         sizes |= set(r["sizes"])
     return bits, sorted(sizes - {WINDOW})
@@ -145,7 +145,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str | None = None) -> DataFr
 
     key: a long column that tells documents of one doc_id apart, returned as well (a row for each); without it their texts do."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = items.repartition(1 if items.limit(20_001).count() <= 20_000 else 64, F.xxhash64("text")).mapInArrow(_items, ITEM)
+    windows = items.repartition(1 if items.limit(20_001).count() <= 20_000 else 64, F.xxhash64("text")).mapInArrow(lean(_items), ITEM)
     windows = windows.withColumn("item", F.xxhash64("item_id", "item", "n"))
     bits, short = _bitmap(windows)
     shared = docs.sparkSession.sparkContext.broadcast((packed(bits), short))
@@ -172,7 +172,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str | None = None) -> DataFr
 
     row = F.xxhash64("doc_id", "text") if key is None else F.col(key).cast("long")
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", row.alias("row"))
-    hits = docs.mapInArrow(run, "doc_id long, row long, pos int, h long, found array<long>").join(windows, "h")
+    hits = docs.mapInArrow(lean(run), "doc_id long, row long, pos int, h long, found array<long>").join(windows, "h")
     # one row for each alignment: windows covered, and the pairs of values in its slots
     of = ["doc_id", "row", "item_id", "item", "form", "n"]
     pairs = F.array_distinct(F.filter(F.arrays_zip("slots", "found"), lambda x: x["slots"] != 0))

@@ -10,7 +10,8 @@ and passes one document on; FAN of these meet on each next level, until one is l
 source has more leaves, not a larger one. All random numbers are hashes of doc_id, level and SEED, so reruns agree.
 
 A null text has size 0. A null source is a source of its own, after all others. An empty document takes the whole part
-of its source's rate. Documents with one doc_id are separate ones. Sources whose texts have no words have target 0.
+of its source's rate. Documents with one doc_id or none are separate ones, also if they are equal. Sources whose texts have
+no words have target 0. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD, Scratch, table
+from tideline.llm.common import WORD, Scratch, lean, table
 
 BLANK = r"[\x20\x09-\x0D]"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -33,6 +34,8 @@ FAN = 256
 SEED = 17
 #: Sources whose targets are joined by broadcast; beyond it they go by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Sources whose targets are computed on the driver; more are computed by the executors.
+DRIVER_SOURCES = 10_000
 _CLOSE = 1e-9
 
 
@@ -54,13 +57,43 @@ def water_fill(sizes: list[float], weights: list[float], total: float) -> list[f
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, target) from (source, size). The driver holds one row for each source."""
+    """(source, source_size, target) from (source, size). Up to DRIVER_SOURCES sources are filled on the driver, more by rounds of sums."""
     spark = sized.sparkSession
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.col("source").asc_nulls_last()).collect()
+    sums = Scratch(spark).keep(sized.groupBy("source").agg(F.sum("size").alias("size")), "sources")
+    if sums.limit(DRIVER_SOURCES + 1).count() > DRIVER_SOURCES:
+        return _many_targets(sums)
+    rows = sums.orderBy(F.col("source").asc_nulls_last()).collect()
     made = water_fill([float(r["size"]) for r in rows], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))], SHARE * sum(r["size"] for r in rows))
     return spark.createDataFrame([(r["source"], int(r["size"]), t) for r, t in zip(rows, made, strict=True)], "source string, source_size long, target double")
 
 
+def _many_targets(sums: DataFrame) -> DataFrame:
+    """The same for any number of sources: their places in order by ranges, and water_fill's rounds as sums over the sources left."""
+    scratch = Scratch(sums.sparkSession)
+    # the ranges are written, so that they are the same for all that follows
+    ranged = scratch.keep(sums.orderBy(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "ranges")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    starts = ranged.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    at = (F.col("place") + F.col("start") - 1) % len(WEIGHTS)
+    weight = F.array(*map(F.lit, WEIGHTS))[at.cast("int")]
+    rows = scratch.keep(ranged.withColumn("place", place).join(F.broadcast(starts), "range").select("source", "size", weight.alias("weight")), "weighted")
+    left = SHARE * (rows.agg(F.sum("size")).first()[0] or 0)
+    open_, most = (F.col("size") > 0), MOST * F.col("size")
+    unit = None
+    while True:
+        # a source that was full stays full, as the unit only grows
+        full = F.lit(False) if unit is None else F.lit(unit) * F.col("weight") > most
+        taken, weights = rows.where(open_).agg(F.sum(F.when(full, most)), F.sum(F.when(~full, F.col("weight")))).first()
+        now = (left - (taken or 0.0)) / weights if weights else float("inf")
+        if unit == now or not weights:
+            unit = now if weights else unit
+            break
+        unit = now
+    share = F.lit(0.0) if unit is None else F.least(F.lit(unit) * F.col("weight"), most)
+    return rows.select("source", F.col("size").cast("long").alias("source_size"), F.when(open_, share).otherwise(0.0).alias("target"))
+
+
 def _chance(key: int | None, row: int, level: int) -> float:
     h = hashlib.blake2b(f"{SEED}:{key}:{row}:{level}".encode(), digest_size=8).digest()
     return int.from_bytes(h, "little") / 2.0**64
@@ -121,7 +154,7 @@ def _level(rows: DataFrame, level: int, parts: int) -> DataFrame:
         yield out
 
     keyed = rows.withColumn("group", F.xxhash64("source", F.coalesce(F.col("source").isNull(), F.lit(True)), "leaf"))
-    return keyed.repartition(parts, "group").sortWithinPartitions("group", "doc_id", "row").mapInPandas(run, STATE)
+    return keyed.repartition(parts, "group").sortWithinPartitions("group", "doc_id", "row").mapInPandas(lean(run), STATE)
 
 
 def mix(sized: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, fresh, table
+from tideline.llm.common import Scratch, fresh, lean, table
 
 PAYLOAD_LEAST = 1000
 SLOTS = 256
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "records": pa.array([n], pa.int64()), "size": pa.array([size], pa.int64())})
 
-    return rows.mapInArrow(write, MANIFEST)
+    return rows.mapInArrow(lean(write), MANIFEST)
 
 
 def records_of(stream) -> Iterator[bytes]:
@@ -168,7 +168,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pack(rows)
 
     n = max(1, manifest.count())
-    return manifest.repartition(n, "path").mapInArrow(read, RECORD)
+    return manifest.repartition(n, "path").mapInArrow(lean(read), RECORD)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
