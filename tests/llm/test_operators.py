@@ -489,22 +489,27 @@ def test_language(spark, none):
 
 
 def _plain_scores(rows):
-    """score of (text, train) rows by plain loops over tokens; only spellings come from the operator's functions."""
+    """score of (text, train) rows by plain loops over tokens; only spellings and the places where segments start come from the
+    operator's functions."""
     import numpy as np
 
     token = lambda t: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
-    docs = [(token(t), f) for t, f in rows]
-    context = lambda x, k: (x[k - 2] if k > 1 else None, x[k - 1] if k else None)
-    c, grams, spelt = collections.Counter(), collections.defaultdict(collections.Counter), collections.Counter()
-    for x, f in docs:
+    docs = []
+    for t, f in rows:
+        x = token(t)
+        start = set(mixer.Piece([mixer.normal((t or "").encode())]).start.tolist())
+        cuts = [*sorted(start), len(x)]
+        docs.append((x, f, [(tuple(x[max(a - 2, 0) : a]), a, tuple(x[a:z])) for a, z in zip(cuts, cuts[1:])]))
+    c, grams = collections.Counter(), collections.defaultdict(collections.Counter)
+    for x, f, parts in docs:
         if f:
             c.update(x)
-            for k, w in enumerate(x):
-                grams[context(x, k)][w] += 1
+            for h, _, seg in parts:
+                grams[h][seg] += 1
     tables = [np.zeros(2 * n, np.uint32) for n in mixer.CONTEXTS.values()]
     mixer.count([w.encode() for w in c if c[w] == 1], tables)
     spelling = [(mixer.logits(t), mixer.gates(t)) for t in tables]
-    spelt = lambda w: float(np.exp(mixer.word_scores([w.encode()], spelling)[0]))
+    spelt = lambda w: float(mixer.word_scores([w.encode()], spelling)[0])
     cells = np.zeros((mixer.SHAPE[0] * mixer.SHAPE[1], 2))
     cell = lambda n, m: int(mixer._bin(np.array([n]), np.array([m]))[0])
     for g in grams.values():
@@ -524,78 +529,49 @@ def _plain_scores(rows):
             self.w, self.held = collections.defaultdict(lambda: list(mixer.START[name])), []
 
         def mix(self, a, b, x, gate):
+            """a: a probability, b: a logarithm."""
             if len(self.held) == mixer.BLOCK:
                 for g, e, y in self.held:
                     self.w[g] = [v + mixer.RATE * e * z for v, z in zip(self.w[g], y)]
                 self.held = []
             x = [*x, 1.0]
             w = 1 / (1 + math.exp(-min(max(sum(map(lambda u, v: u * v, self.w[gate], x)), -9), 9)))
-            p = w * a + (1 - w) * b
-            self.held.append((gate, w * a / p - w, x))
+            one, other = math.log(w * a) if a else -math.inf, math.log(1 - w) + b
+            p = max(one, other) + math.log1p(math.exp(-abs(one - other)))
+            self.held.append((gate, math.exp(one - p) - w, x))
             return p
 
     out = []
-    for x, f in docs:
+    for x, f, parts in docs:
         own = collections.Counter(x) if f else {}
         mine = collections.defaultdict(collections.Counter)
-        if f:
-            for k, w in enumerate(x):
-                mine[context(x, k)][w] += 1
-        low, high, so_far, worth, hits, score = Mixer("C"), Mixer("A"), collections.Counter(), [], [], 0.0
+        for h, _, seg in parts if f else ():
+            mine[h][seg] += 1
+        low, high, so_far, worth, hits, score, costs = Mixer("C"), Mixer("A"), collections.Counter(), [], [], 0.0, []
         for k, w in enumerate(x):
             known = c[w] - own.get(w, 0)
-            word = (1 - new) * known / total if known > 0 else new * spelt(w)
+            word = math.log((1 - new) * known / total) if known > 0 else math.log(new) + spelt(w)
             share = so_far[w] / max(k, 1)
             prior = min(max(mixer.CACHE * k / (k + mixer.WARM), 1e-3), 0.5)
             p = low.mix(share, word, [math.log(prior / (1 - prior)), logit(worth[-16:]), logit(worth[-128:])], bits(k / 16, 0))
-            p = p if k else word
-            worth.append(share / (share + word))
-            g, m = grams.get(context(x, k), {}), mine[context(x, k)]
+            costs.append(p if k else word)
+            worth.append(share / (share + math.exp(word)))
+            so_far[w] += 1
+        for h, at, seg in parts:
+            p = sum(costs[at : at + len(seg)])
+            g, m = grams.get(h, {}), mine[h]
             seen = sum(g.values()) - sum(m.values())
             if seen > 0:
                 many = max(len(g) - sum(g[v] == n for v, n in m.items()), 1)
-                right = g.get(w, 0) - m.get(w, 0)
+                right = g.get(seg, 0) - m.get(seg, 0)
                 z = cells[cell(seen, many)]
-                p = high.mix(right / seen, p, [math.log((z[1] + 0.5) / (z[0] + 0.5)), logit(hits[-8:]), logit(hits[-64:])], bits(seen, 1))
+                p = high.mix(right / seen, p, [math.log((z[1] + 0.5) / (z[0] + 0.5)), logit(hits[-4:]), logit(hits[-16:])], bits(seen, 1))
                 hits.append(float(right > 0))
-            so_far[w] += 1
-            score += math.log10(p)
-        out.append(score)
+            score += p
+        out.append(score / math.log(10))
     return out
 
 
-def test_language_on_held_out_documents(spark):
-    """Accuracy on documents that were not learned from; repeated rows, null ids and clashing columns change nothing."""
-    out = language.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
-    held = out.where("held_out and lang is not null and lang_pred <> 'und'").collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in held) > 0.97 * len(held) > 100 and all(0 <= r["score"] <= 1 for r in held)
-    rows = spark.createDataFrame([(None, "el estado una", "x", 0.5)] * 3, "doc_id long, text string, lang_pred string, score double")
-    model = {"es": b"el estado una mucho el la de los " * 40, "en": b"the state of a many that it was " * 40}
-    assert [(r["doc_id"], r["lang_pred"]) for r in language.predict(rows, model, "doc_id").collect()] == [(None, "es")] * 3
-
-
-def test_language_by_brute_force(spark):
-    """Every prediction is the smallest compression, by a plain loop."""
-    import zstandard
-
-    rng = random.Random(2)
-    model = {k: " ".join("".join(rng.choices(v, k=rng.randrange(2, 9))) for _ in range(3000)).encode() for k, v in (("a", "etaoin"), ("b", "shrdlu"), ("c", "cmfwyp"))}
-    made = [" ".join("".join(rng.choices(rng.choice(["etaoin", "shrdlu", "cmfwyp", "etashr"]), k=rng.randrange(2, 9))) for _ in range(rng.randrange(1, 400))) for _ in range(60)] + ["Et 12, AO!", "t" * 100_000]
-
-    def plain(t):
-        raw = "".join(c for c in t.lower() if not c.isdigit() and c.isalnum() or c == " ").encode()
-        sizes = {}
-        for k, d in model.items():
-            lead = b"" if len(raw) >= language.SHORT else d[-language.SHORT :]
-            press = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
-            sizes[k] = len(press.compress(lead + raw))
-        return min(sorted(sizes), key=sizes.get)
-
-    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(rows, model, "doc_id").collect()}
-    assert sum(got[i] == plain(t) for i, t in enumerate(made)) >= len(made) - 1  # a precomputed dictionary may break a tie otherwise
-
-
 def test_mixer(spark, docs, none):
     train = docs.withColumn("train", F.col("doc_id") % 3 != 0)
     token = lambda t: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
