@@ -21,7 +21,7 @@ class Book:
     def __init__(self, unknown: str = "skip", strict_fifo: bool = False):
         self.unknown, self.strict = unknown, strict_fifo
         self.orders: dict[int, list[int]] = {}  # side, price, qty, flags
-        self.levels: dict[tuple[int, int], list] = {}  # (side, price): total, queue
+        self.levels: dict[tuple[int, int], list] = {}  # (side, price): total, queue (orders in their order, and how often each stands in it)
 
     def apply(self, kind, side, flags, order_id, bid, ask, price, qty) -> None:
         if kind == 1:
@@ -48,16 +48,16 @@ class Book:
 
     def _enter(self, side: int, price: int, order_id: int, qty: int) -> None:
         if side in (1, 2):
-            level = self.levels.setdefault((side, price), [0, []])
+            level = self.levels.setdefault((side, price), [0, {}])
             level[0] += qty
-            level[1].append(order_id)
+            level[1][order_id] = level[1].get(order_id, 0) + 1
 
     def _leave(self, side: int, price: int, order_id: int, qty: int, gone: bool) -> None:
         level = self.levels.get((side, price))
         if level is not None:
             level[0] = max(0, level[0] - qty)
             if gone or not self.strict:
-                level[1] = [x for x in level[1] if x != order_id]
+                level[1].pop(order_id, None)
             if level[0] == 0:
                 del self.levels[side, price]
 
@@ -91,11 +91,11 @@ class Book:
             self._leave(side, old_price, order_id, old_qty, True)
             self._enter(side, order[1], order_id, order[2])
         elif order[2] != old_qty and side in (1, 2):
-            level = self.levels.setdefault((side, old_price), [0, []])
+            level = self.levels.setdefault((side, old_price), [0, {}])
             level[0] = max(0, level[0] + order[2] - old_qty)
 
     def rows(self, market: int) -> list[tuple]:
-        return [(market, "order", k, o[0], o[1], o[2], 0) for k, o in self.orders.items()] + [(market, "level", None, s, p, v[0], len(v[1])) for (s, p), v in self.levels.items()]
+        return [(market, "order", k, o[0], o[1], o[2], 0) for k, o in self.orders.items()] + [(market, "level", None, s, p, v[0], sum(v[1].values())) for (s, p), v in self.levels.items()]
 
 
 def final_books(events: DataFrame, unknown: str = "skip", strict_fifo: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.operators.book_l2 import Book, ordered
+
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
     """A growing folder of Parquet files; a named reader is its checkpoint location."""
@@ -16,28 +18,63 @@ def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int
 
 
 def best_quotes(levels: DataFrame) -> DataFrame:
-    """The best quotes after each event of a market; rows of a batch are folded in order of seq, across batches as they arrive."""
+    """The best quotes after each event of a market; events of a batch are folded in order of seq, across batches as they arrive.
+    The rows of one event have to arrive in one batch."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bids, asks = ({}, {}) if not state.exists else [dict(zip(*x, strict=True)) for x in zip(state.get[0::2], state.get[1::2], strict=True)]
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
+        book = Book()
+        if state.exists:
+            for side, prices, sizes in (("B", *state.get[:2]), ("S", *state.get[2:])):
+                for p, s in zip(prices, sizes, strict=True):
+                    book.put(side, int(p), int(s))
+        rows = pd.concat(list(frames)).sort_values(["seq", "level_ord"], kind="stable")
+        out, last = [], None
         for r in rows.itertuples(index=False):
             if r.ev not in (1, 2):
                 continue
-            if r.ev == 1:
-                bids, asks = {}, {}
-            side = bids if r.side == "B" else asks
-            if r.size == 0:
-                side.pop(r.price, None)
-            else:
-                side[r.price] = r.size
-            out.append((key[0], r.seq, max(bids, default=None), min(asks, default=None)))
-        state.update(([*bids], [*bids.values()], [*asks], [*asks.values()]))
+            if r.seq != last and r.ev == 1:
+                book.clear()
+            book.put(r.side, r.price, r.size)
+            if r.seq == last:
+                out.pop()
+            last = r.seq
+            out.append((key[0], r.seq, *book.state(1)[:2]))
+        bids, asks = book.bids, book.asks
+        state.update((bids.prices, [bids.size[p] for p in bids.prices], asks.prices, [asks.size[p] for p in asks.prices]))
         yield pd.DataFrame(out, columns=["market_id", "seq", "best_bid", "best_ask"]).astype({"best_bid": "Int64", "best_ask": "Int64"})
 
     shape = "bid_prices array<long>, bid_sizes array<long>, ask_prices array<long>, ask_sizes array<long>"
-    return levels.groupBy("market_id").applyInPandasWithState(fold, "market_id long, seq long, best_bid long, best_ask long", shape, "append", GroupStateTimeout.NoTimeout)
+    return ordered(levels).groupBy("market_id").applyInPandasWithState(fold, "market_id long, seq long, best_bid long, best_ask long", shape, "append", GroupStateTimeout.NoTimeout)
+
+
+def time_bars(df: DataFrame, interval_ns: int, stream: str = "market_id", ts: str = "timestamp_ns", order: str = "seq") -> DataFrame:
+    """The first row of each new bucket of a stream, across batches; late rows don't open old buckets again, timestamp 0 never emits."""
+    names = df.columns
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        bucket = (rows[ts] // interval_ns).where(rows[ts] != 0, -1)
+        seen = bucket.cummax().shift(fill_value=-1).clip(lower=state.get[0] if state.exists else -1)
+        state.update((int(max(seen.iloc[-1], bucket.iloc[-1])),))
+        yield rows.loc[bucket > seen, names]
+
+    return df.groupBy(stream).applyInPandasWithState(fold, df.schema, "bucket long", "append", GroupStateTimeout.NoTimeout)
+
+
+def gaps(df: DataFrame, stream: str = "market_id", order: str = "seq") -> DataFrame:
+    """(stream, gap_from, gap_to) for each row that is not one more than the row before it in its stream, across batches."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = pd.concat(list(frames))["_seq"].sort_values(kind="stable")
+        before = now.shift().astype("Int64")
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        state.update((int(now.iloc[-1]),))
+        gap = before.notna() & (now.astype("Int64") != before + 1).fillna(False)
+        yield pd.DataFrame({stream: key[0], "gap_from": before[gap].astype("int64"), "gap_to": now[gap]})
+
+    kind = df.schema[stream].dataType.simpleString()
+    return df.select(stream, F.col(order).cast("long").alias("_seq")).groupBy(stream).applyInPandasWithState(fold, f"{stream} {kind}, gap_from long, gap_to long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def monitored(df: DataFrame, interval: str, value: str, delay: str) -> DataFrame:
