@@ -46,17 +46,35 @@ def start_at(df: DataFrame, mode: str, order: str = "seq", committed: int | None
     return df if mode == "resume_snapshot" else df.where(F.lit(False))
 
 
+def readable(df: DataFrame) -> DataFrame:
+    """What a queue's reader gives: no padding, and every payload checked."""
+    return verified(scan(df))
+
+
+def _first(df: DataFrame, condition: Column, order: str) -> int | None:
+    """The least position of the rows that fit. One small job: as a literal, the position prunes row groups of the scan."""
+    return df.where(condition).agg(F.min(order)).first()[0]
+
+
 def seek(df: DataFrame, column: str, target: int, order: str = "seq") -> DataFrame:
-    """Positional: all rows from the first one, in order, whose column reaches the target. One aggregate, then a filter."""
-    first = df.where(F.col(column) >= target).agg(F.min(order).alias("_first"))
-    return df.join(F.broadcast(first), F.col(order) >= F.col("_first")).drop("_first")
+    """Positional: all rows from the first one, in order, whose column reaches the target."""
+    at = _first(df, F.col(column) >= target, order)
+    return df.where(F.lit(False)) if at is None else df.where(F.col(order) >= at)
 
 
 def seek_scan(df: DataFrame, column: str, start: int, end: int, order: str = "seq") -> DataFrame:
     """Positional range: from the first row that reaches ``start`` up to the first one after it that reaches ``end``."""
     rows = seek(df, column, start, order)
-    stop = rows.where(F.col(column) >= end).agg(F.min(order).alias("_stop"))
-    return rows.join(F.broadcast(stop), F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
+    stop = _first(rows, F.col(column) >= end, order)
+    return rows if stop is None else rows.where(F.col(order) < stop)
+
+
+def for_each_available(df: DataFrame, most: int, go_on: Column, order: str = "seq") -> DataFrame:
+    """The rows that a callback over at most ``most`` rows counts: those before the first for which go_on is not true.
+    That one is consumed as well: a next call starts after it."""
+    rows = drain(df, most, order)
+    stop = _first(rows, ~F.coalesce(go_on, F.lit(False)), order)
+    return rows if stop is None else rows.where(F.col(order) < stop)
 
 
 def seek_result(df: DataFrame, target: int, column: str = "timestamp_ns", order: str = "seq") -> DataFrame:
@@ -78,13 +96,39 @@ def dimension(df: DataFrame) -> DataFrame:
     return df.dropna().where("valid_from_ts >= 0 and symbol_id >= 0 and valid_until_ts > valid_from_ts")
 
 
+# fixed values: the columns of the exchange's files
 ORDER_CSV = "OrderQty LONG, OrdType STRING, TransactTime LONG, ExpirationDays INT, Side BYTE, ApplSeqNum LONG, Contactor LONG, SendingTime LONG, Price DOUBLE, ChannelNo INT, ExpirationType INT, ContactInfo LONG, ConfirmID LONG"
 TICK_CSV = "ApplSeqNum LONG, BidApplSeqNum LONG, SendingTime LONG, Price DOUBLE, ChannelNo INT, Qty LONG, OfferApplSeqNum LONG, Amt DOUBLE, ExecType STRING, TransactTime LONG"
 
 
-def csv_rows(spark: SparkSession, path: str, schema: str, ignore_errors: bool = False) -> DataFrame:
-    rows = spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED" if ignore_errors else "FAILFAST")
-    return rows.withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([0-9]{6})\.csv$", 1))
+def csv_rows(spark: SparkSession, path: str, schema: str, ignore_errors: bool = False, channel: int | None = None, symbols: str | None = None, max_files: int | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """Rows with their path, the place of the file in the order of paths, and the symbol in its name.
+
+    symbols: a regular expression of the symbols wanted; max_files: only the first files by path. Undecodable bytes are replaced.
+    """
+    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path").collect()]
+    files = [f for f in files if f.endswith(".csv")][:max_files]
+    rows = spark.read.csv(files or [path], schema=schema, header=True, encoding=encoding, mode="DROPMALFORMED" if ignore_errors else "FAILFAST")
+    rows = rows.withColumn("path", F.col("_metadata.file_path")).withColumn("symbol", F.regexp_extract("path", r"([0-9]{6})\.csv$", 1))
+    rows = rows.withColumn("file", F.dense_rank().over(Window.orderBy("path")) - 1 if not files else F.array_position(F.lit(files), F.col("path")).cast("int") - 1)
+    if channel is not None:
+        rows = rows.where(F.col("ChannelNo") == channel)
+    return rows if symbols is None else rows.where(F.col("symbol").rlike(symbols))
+
+
+def merged_csv(rows: DataFrame) -> DataFrame:
+    """All files by (channel, sequence); equal ones by the place of their file."""
+    return rows.orderBy("ChannelNo", "ApplSeqNum", "file")
+
+
+def one_channel(rows: DataFrame) -> DataFrame:
+    """Paths with more than one channel: their rows can't be merged as one stream."""
+    return rows.groupBy("path").agg(F.countDistinct("ChannelNo").alias("channels")).where("channels > 1")
+
+
+def channel_sink(path: str):
+    """Writes each channel's rows, sorted, to a folder of its own."""
+    return lambda df: by_channel(df).write.mode("append").partitionBy("ChannelNo").csv(path, header=True)
 
 
 def order_tick_union(orders: DataFrame, ticks: DataFrame) -> DataFrame:
