@@ -12,8 +12,6 @@ OFFSETS = {"UTC": 0, "Asia/Shanghai": 28800, "Asia/Tokyo": 32400, "America/New_Y
 HASH_START = 0xCBF29CE484222325
 HASH_FACTOR = 0x1099511628211904
 
-FORMATS = {"date": "yyyy-MM-dd", "hour": "yyyy-MM-dd-HH", "minute": "yyyy-MM-dd-HH-mm"}
-
 
 def tz_offset(name: str) -> int:
     """Seconds east of UTC. New York has no daylight saving time; other zones are +HHMM or -HHMM."""
@@ -26,8 +24,16 @@ def tz_offset(name: str) -> int:
 
 
 def roll(ts_ns: Column, kind: str, tz: str = "UTC") -> Column:
-    """The partition value of a timestamp: a date, hour or minute string. The session's time zone has to be UTC."""
-    return F.date_format(F.timestamp_seconds(_div(ts_ns, 1_000_000_000) + tz_offset(tz)), FORMATS[kind])
+    """The partition value of a timestamp: a date, hour or minute string. From days and seconds alone: the session's time zone plays no part."""
+    seconds = _div(ts_ns, 1_000_000_000) + tz_offset(tz)
+    day = _div(seconds, 86_400)
+    second = seconds - day * 86_400
+    parts = [F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string")]
+    if kind in ("hour", "minute"):
+        parts.append(F.lpad(_div(second, 3600).cast("string"), 2, "0"))
+    if kind == "minute":
+        parts.append(F.lpad(_div(second % 3600, 60).cast("string"), 2, "0"))
+    return F.concat_ws("-", *parts)
 
 
 def _div(x: Column, by: int) -> Column:
@@ -97,3 +103,19 @@ def path_component(x: str) -> str:
     if not _COMPONENT.fullmatch(x) or x in (".", ".."):
         raise ValueError(f"invalid path component: {x!r}")
     return x
+
+
+def exchange_time(stamp: Column) -> Column:
+    """Nanoseconds since the epoch of a 17-digit local time YYYYMMDDhhmmssSSS, taken as UTC; null if it is none."""
+    text = stamp.cast("string")
+    day = F.datediff(F.try_to_timestamp(F.substring(text, 1, 8), F.lit("yyyyMMdd")).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    part = lambda at, n: F.substring(text, at, n).cast("long")
+    ms = ((day * 24 + part(9, 2)) * 60 + part(11, 2)) * 60 + part(13, 2)
+    return F.when(text.rlike("^[0-9]{17}$"), (ms * 1000 + part(15, 3)) * 1_000_000)
+
+
+def auction_phase(stamp: Column) -> Column:
+    """open (09:15 to 09:25), close (14:57 to 15:00), continuous (09:30 to 11:30, 13:00 to 14:57) or closed, by the clock of a 17-digit time."""
+    at = F.substring(stamp.cast("string"), 9, 4).cast("int")
+    phase = F.when((at >= 915) & (at < 925), "open").when((at >= 1457) & (at < 1500), "close")
+    return phase.when(((at >= 930) & (at < 1130)) | ((at >= 1300) & (at < 1457)), "continuous").otherwise("closed")

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import catalog
+from tideline.operators.book_l2 import replay
+
 
 def every_n(df: DataFrame, n: int, stream: str, order: str = "seq") -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(stream).orderBy(order))).where(F.col("_k") % n == 0).drop("_k")
@@ -59,9 +62,76 @@ def retained(snapshots: DataFrame, key: str, now: int | None = None, max_age: in
     return snapshots
 
 
-def refine(df: DataFrame, interval: int, stream: str = "market_id", order: str = "seq", ts: str = "timestamp_ns") -> DataFrame:
+def refine(df: DataFrame, interval: int, stream: str = "market_id", order: str = "seq", ts: str = "timestamp_ns", versions: DataFrame | None = None) -> DataFrame:
     """The book events, with a snapshot marker before each event at which one is due. ``part`` 0: marker (state after the
-    event), 1: the event; output order is (order, part); out_seq numbers the result of each stream from 0."""
+    event), 1: the event; output order is (order, part); out_seq numbers the result of each stream from 0.
+
+    Rows of another type (type_id, where there is one) are dropped. versions: the symbol dimension; an event without a valid
+    version raises, and so does a stream whose symbol changes. Book events of every kind pass and may bring a marker.
+    """
+    if "type_id" in df.columns:
+        df = df.where(F.col("type_id") == BOOK_EVENT)
+    if versions is not None:
+        df = catalog.resolve_all(df, versions, key=stream, ts=ts, order=order)
+        drift = F.lag("symbol_id").over(Window.partitionBy(stream).orderBy(order))
+        df = df.withColumn("_was", drift)
+        raised = F.raise_error(F.concat(F.lit("symbol changes to "), F.col("symbol_id").cast("string"))).cast("long")
+        df = df.withColumn("symbol_id", F.when(F.col("_was") != F.col("symbol_id"), raised).otherwise(F.col("symbol_id"))).drop("_was")
     due = planned(df, stream, order, elapsed=interval, ts=ts)
     both = due.withColumn("part", F.lit(0)).unionByName(df.withColumn("part", F.lit(1)))
     return both.withColumn("out_seq", (F.row_number().over(Window.partitionBy(stream).orderBy(order, "part")) - 1).cast("long"))
+
+
+def refined_books(levels: DataFrame, interval: int) -> DataFrame:
+    """The snapshots that refine() injects into level rows (one or more for each event): the whole book after each due event."""
+    events = levels.select("market_id", "seq", "timestamp_ns").distinct()
+    due = planned(events, "market_id", elapsed=interval).select("market_id", "seq", F.lit(True).alias("due"))
+    return replay(levels.join(due, ["market_id", "seq"], "left"), None).where("ev in (1, 2)")
+
+
+# ---------------------------------------------------------------- stored snapshots
+
+# fixed values of the format
+BOOK_EVENT, SNAPSHOT_VERSION, MODE_L2 = 0x1000, 1, 0
+HEADER_BYTES, COUNTS_BYTES, LEVEL_BYTES = 64, 12, 16
+
+
+def write_snapshots(books: DataFrame, path: str, venue_id: int = 0) -> None:
+    """Appends states of whole books (replay, depth None). Spark's commit makes a snapshot appear whole or not at all."""
+    size = HEADER_BYTES + COUNTS_BYTES + LEVEL_BYTES * (F.size("bid_prices") + F.size("ask_prices"))
+    head = {"version": F.lit(SNAPSHOT_VERSION), "book_mode": F.lit(MODE_L2), "venue_id": F.lit(venue_id), "size": size.cast("long")}
+    books.withColumns(head).sortWithinPartitions("market_id", "seq").write.mode("append").parquet(path)
+
+
+def read_snapshots(spark, path: str, venue_id: int | None = None) -> DataFrame:
+    """Stored snapshots; one of another version or mode, or whose length is not that of its levels, raises when it is read."""
+    df = spark.read.parquet(path)
+    df = df if venue_id is None else df.where(F.col("venue_id") == venue_id)
+    bad = F.when(F.col("version") != SNAPSHOT_VERSION, "version").when(F.col("book_mode") != MODE_L2, "mode")
+    bad = bad.when(F.col("size") != HEADER_BYTES + COUNTS_BYTES + LEVEL_BYTES * (F.size("bid_prices") + F.size("ask_prices")), "length")
+    say = F.raise_error(F.concat(F.lit("snapshot of another "), bad)).cast("int")
+    return df.withColumn("version", F.when(bad.isNotNull(), say).otherwise(F.col("version")))
+
+
+def levels_of(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as level rows: bids from the best down, then asks from the best up."""
+    keys = ["market_id", "seq", "timestamp_ns"]
+    side = lambda s, p, z: snapshots.select(*keys, F.lit(s).alias("side"), F.posexplode(F.arrays_zip(F.col(p).alias("price"), F.col(z).alias("size"))).alias("level_ord", "x"))
+    both = side("B", "bid_prices", "bid_sizes").unionByName(side("S", "ask_prices", "ask_sizes"))
+    return both.select(*keys, F.lit(1).alias("ev"), "side", F.col("x.price").alias("price"), F.col("x.size").alias("size"), "level_ord")
+
+
+def write_checkpoint(books: DataFrame, path: str, channel: int) -> None:
+    """{channel, last_seq, symbols: [{symbol, book_hash}]} by symbol, as JSON. books(symbol, last_seq, book_hash): one row for each book."""
+    entries = F.sort_array(F.collect_list(F.struct("symbol", "book_hash"))).alias("symbols")
+    books.agg(F.lit(channel).alias("channel"), F.max("last_seq").alias("last_seq"), entries).coalesce(1).write.mode("overwrite").json(path)
+
+
+def snapshot_service(stream: DataFrame, path: str, checkpoint: str, make, venue_id: int = 0):
+    """A running query that appends, for each micro-batch of level rows, the snapshots that ``make`` takes from it (a function to
+    states of whole books). The dimension or any other table that make reads is read anew for each batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_snapshots(make(batch), f"{path}/batch={number}", venue_id)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

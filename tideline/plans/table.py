@@ -8,11 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import roll
+from tideline.operators.filters import Exact
 from tideline.operators.merge import merge_ordered, merge_sequential
 
 VERSION = 1
 
 
+def partition_path(scheme: list[tuple[str, str]], values: dict) -> str:
+    """``k=v/k=v`` in the order of the scheme."""
+    return "/".join(f"{k}={values[k]}" for k, _ in scheme)
+
+
+def partition_label(values: dict) -> str:
+    """The same in the order of the alphabet, to be shown."""
+    return "/".join(f"{k}={values[k]}" for k in sorted(values))
+
+
+def partition_values(path: str) -> dict[str, str]:
+    """Of a path: the values, always strings."""
+    return dict(x.split("=", 1) for x in path.strip("/").split("/") if "=" in x)
+
+
 class Table:
     """``scheme``: (key, kind) pairs, kind one of string, int, date, hour, minute. Rows have seq and timestamp_ns."""
 
@@ -61,16 +77,22 @@ class Table:
 
     def read(self) -> DataFrame:
         """Partition values keep their declared types: strings, and long for int."""
-        self.spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        df = self.spark.read.parquet(f"{self.path}/data")
-        return df.withColumns({k: F.col(k).cast("long") for k, kind in self.scheme if kind == "int"})
+        found = self.spark.read.parquet(f"{self.path}/data")
+        own = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name not in self.keys]
+        # a declared schema, so that partition values are not inferred
+        return self.spark.read.schema(", ".join(own + [f"`{k}` {'long' if kind == 'int' else 'string'}" for k, kind in self.scheme])).parquet(f"{self.path}/data")
+
+    def reader(self, values: dict) -> DataFrame:
+        """One partition, in order; all keys have to be given, with their kinds."""
+        self.validate(values)
+        return self.read().where(Exact(values).column(self.keys, dict(self.scheme))).orderBy("seq")
 
     def partitions(self) -> DataFrame:
         return self.read().select(*self.keys).distinct()
 
     def query(self, condition, strategy: str = "ordered") -> DataFrame:
         """Pruned to the partitions that the filter accepts, merged by timestamp or one after the other."""
-        df = self.read().where(condition.column(self.keys))
+        df = self.read().where(condition.column(self.keys, dict(self.scheme)))
         part = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in self.keys])
         df = df.withColumn("_part", part)
         return (merge_ordered(df, "_part") if strategy == "ordered" else merge_sequential(df, "_part")).drop("_part")
