@@ -80,7 +80,7 @@ def _positions(df: DataFrame, *by: str) -> DataFrame:
 
 _HOLES = "seq % 17 <> 0"
 over_messages("gap_detect", f"SELECT seq, market_id, seq // 8 AS n, lag(seq // 8) OVER (PARTITION BY market_id ORDER BY seq) AS prev, coalesce(seq // 8 <> lag(seq // 8) OVER (PARTITION BY market_id ORDER BY seq) + 1, false) AS is_gap FROM m WHERE {_HOLES}", lambda m: filters.gaps(m.where(_HOLES).withColumn("n", F.expr("seq div 8")), "market_id", column="n").select("seq", "market_id", "n", "prev", "is_gap"))
-over_messages("gap_quarantine", f"SELECT seq FROM (SELECT seq, lag(seq) OVER (ORDER BY seq) AS p FROM m WHERE {_HOLES}) WHERE p IS NULL OR seq = p + 1", lambda m: filters.apply_gap_policy(filters.gaps(m.where(_HOLES).withColumn("one", F.lit(1)), "one"), "quarantine").select("seq"))
+over_messages("gap_quarantine", f"SELECT seq FROM (SELECT seq, lag(seq) OVER (ORDER BY seq) AS p FROM m WHERE {_HOLES}) WHERE p IS NULL OR seq = p + 1", lambda m: filters.apply_gap_policy(filters.gaps(m.where(_HOLES)), "quarantine").select("seq"))
 over_messages("last_gap", f"SELECT market_id, arg_max(p, seq) AS gap_from, max(seq) AS gap_to FROM (SELECT market_id, seq, lag(seq) OVER (PARTITION BY market_id ORDER BY seq) AS p FROM m WHERE {_HOLES}) WHERE seq <> p + 1 GROUP BY market_id", lambda m: filters.last_gap(filters.gaps(m.where(_HOLES), "market_id"), "market_id"))
 
 # ---------------------------------------------------------------- dimension
@@ -174,7 +174,7 @@ query("l3_unknown_orders", "SELECT o_custkey % 8 AS market_id, l_orderkey * 16 +
 
 over_messages("segment_stats", "SELECT seq // 1000 AS segment_id, min(seq) AS min_seq, max(seq) AS max_seq, min(timestamp_ns) AS min_ts, max(timestamp_ns) AS max_ts, count(*) AS n FROM m GROUP BY 1", lambda m: lifecycle.segment_stats(m, F.expr("seq div 1000")))
 over_messages("seek_index_stride", "SELECT segment_id, k AS record_index, seq, timestamp_ns FROM (SELECT *, seq // 1000 AS segment_id, row_number() OVER (PARTITION BY seq // 1000 ORDER BY seq) - 1 AS k FROM m) WHERE k % 64 = 0", lambda m: lifecycle.seek_index(m, F.expr("seq div 1000"), 64))
-over_messages("monitor_window", "SELECT timestamp_ns // 86400000000000 AS bucket, count(*) AS n, count(*) / 86400.0::DOUBLE AS rate, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999, max(value) AS max_value FROM m GROUP BY 1", lambda m: lifecycle.monitor_windows(m, 86400, "value"))
+over_messages("monitor_window", "SELECT timestamp_ns // 86400000000000 AS bucket, count(*) AS n, count(*) / 86400.0::DOUBLE AS rate, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999, max(value) AS max_value FROM m GROUP BY 1", lambda m: lifecycle.monitor_windows(m, 86400, "value", exact=True))
 over_messages("symbol_parallel", "SELECT market_id % 3 AS worker, count(*) AS messages, count(DISTINCT market_id) AS symbols FROM m GROUP BY 1", lambda m: lifecycle.per_symbol(m, 3))
 _READERS = "SELECT 'r' || s_suppkey AS name, s_suppkey % 40 AS segment_id, s_suppkey * 7 % 1024 AS \"offset\", CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 100000000000 END AS last_heartbeat_ns FROM supplier"
 
