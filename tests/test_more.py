@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar
-from tideline.operators import book_l2, book_l3, filters, lifecycle, merge, snapshots
+from tideline.operators import book_l2, book_l3, features, filters, lifecycle, merge, snapshots
 from tideline.plans import table as tables
 from tideline.plans.table import Table
 from tideline.sources import messages as src
@@ -325,3 +325,42 @@ def test_small_functions(spark):
         lifecycle.extractor_stats(df.withColumn("ev", F.lit(1)), 0, F.lit(True))
     with pytest.raises(ValueError):
         merge.fan_in([])
+
+
+def test_named_readers_resume(spark, tmp_path):
+    path, root = f"file://{tmp_path}/log", f"file://{tmp_path}"
+    assert stateful.try_open(spark, path, "seq long") is None
+    for k in range(2):
+        spark.range(3 * k, 3 * k + 3).withColumnRenamed("id", "seq").coalesce(1).write.mode("append").parquet(path)
+        stateful.named_reader(stateful.try_open(spark, path, "seq long"), root, "a", stateful.once_sink(f"{root}/out"))
+    out = spark.read.parquet(f"{root}/out")
+    assert sorted((r["batch"], r["seq"]) for r in out.collect()) == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (1, 5)]
+    stateful.once_sink(f"{root}/out")(spark.range(3, 6).withColumnRenamed("id", "seq"), 1)
+    assert spark.read.parquet(f"{root}/out").count() == 6
+    stateful.named_reader(stateful.read_log(spark, path, "seq long"), root, "b", stateful.once_sink(f"{root}/other"))
+    assert spark.read.parquet(f"{root}/other").count() == 6
+    with pytest.raises(ValueError):
+        stateful.named_reader(stateful.read_log(spark, path, "seq long"), root, "../x", stateful.once_sink(root))
+
+
+def test_feature_graph(spark):
+    rows = [(1, k, k, 2, "BS"[k % 2], 100 + k, k + 1, 0) for k in range(20)]
+    df = spark.createDataFrame(rows, LEVELS)
+    graph = features.FeatureGraph([features.mid_price()], [features.spread_bps(), features.imbalance(10)], depth=10)
+    assert graph.offsets == [0, 1]
+    last = graph.extract(df).orderBy(F.desc("seq")).first()
+    bids, asks = sorted((k + 1 for k in range(0, 20, 2)), reverse=True), [k + 1 for k in range(1, 20, 2)]
+    assert last["imbalance"] == (sum(bids) - sum(asks)) / (sum(bids) + sum(asks))
+    assert graph.extract(df, features.time_bar(10)).count() == 2
+    with pytest.raises(ValueError, match="no features"):
+        features.FeatureGraph([])
+    with pytest.raises(ValueError, match="another kind"):
+        features.FeatureGraph([F.lit("x").alias("x")]).extract(df)
+
+
+def test_warm_start_reaches(spark):
+    rows = [(1, k, 10 * k, 1 if k == 2 else 2, "B", 100, 1, 0) for k in range(6)]
+    df = spark.createDataFrame(rows, LEVELS)
+    shots = df.where("ev = 1")
+    assert [book_l2.reaches(df, shots, 1, t) for t in (10, 20, 45, 50, 51)] == [False, True, True, True, False]
+    assert snapshots.latest_before(shots.withColumn("venue_id", F.lit(3)), 50, "timestamp_ns", venue_id=4).count() == 0

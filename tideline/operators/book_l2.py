@@ -132,6 +132,12 @@ def replay(levels: DataFrame, depth: int | None = 5, key: str | None = "market_i
     return rows.repartition("market_id").sortWithinPartitions("market_id", "seq", "level_ord").drop("level_ord").mapInPandas(fold, schema)
 
 
+def reaches(levels: DataFrame, snapshots: DataFrame, market: int, target: int, column: str = "timestamp_ns") -> bool:
+    """Whether a warm start gets to the target: there is a snapshot before it, and an event of any kind after that one which reaches it."""
+    head = snapshots.where((F.col("market_id") == market) & (F.col(column) <= target)).agg(F.max("seq")).first()[0]
+    return head is not None and bool(levels.where((F.col("market_id") == market) & (F.col("seq") > head) & (F.col(column) >= target)).limit(1).count())
+
+
 def warm_start(levels: DataFrame, snapshots: DataFrame, market: int, target: int | None = None, column: str = "timestamp_ns") -> DataFrame:
     """The book from the latest snapshot of a market (at most the target) and the later events, through the first one that reaches the target.
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import bucket, scaled
+from tideline.operators.book_l2 import replay
+
+# A trigger is a function (window spec, eligible) -> Column: whether a row emits, given which rows reach the trigger.
+Trigger = Callable[..., Column]
 
 
 def mid_price(scale: int = 2) -> Column:
@@ -22,6 +26,7 @@ def spread_bps(scale: int = 2) -> Column:
 
 
 def imbalance(depth: int = 5) -> Column:
+    """Over at most the levels that the states hold: replay(depth=...), or FeatureGraph(depth=...), has to be as deep."""
     total = lambda c: F.aggregate(F.slice(c, 1, max(1, depth)), F.lit(0).cast("long"), lambda s, x: s + x)
     bids, asks = total("bid_sizes"), total("ask_sizes")
     return F.coalesce(F.when(bids + asks != 0, (bids - asks) / (bids + asks).cast("double")), F.lit(0.0)).alias("imbalance")
@@ -33,10 +38,34 @@ def features(states: DataFrame, *columns: Column, keep: tuple[str, ...] = ("mark
     return states.select(*keep, *columns)
 
 
-# ---------------------------------------------------------------- triggers
-# A trigger is a function (window spec, eligible) -> Column: whether a row emits, given which rows reach the trigger.
+class FeatureGraph:
+    """Named features over book states, their schema, and the place where each one's columns begin."""
 
-Trigger = Callable[..., Column]
+    KINDS = ("double", "bigint", "boolean")
+
+    def __init__(self, *groups: list[Column], keep: tuple[str, ...] = ("market_id", "seq", "timestamp_ns"), depth: int = 5):
+        if not groups or not all(groups):
+            raise ValueError("no features")
+        self.groups, self.keep, self.depth = groups, keep, depth
+
+    @property
+    def offsets(self) -> list[int]:
+        return [sum(map(len, self.groups[:i])) for i in range(len(self.groups))]
+
+    def over(self, states: DataFrame) -> DataFrame:
+        out = features(states, *[c for g in self.groups for c in g], keep=self.keep)
+        odd = [f.name for f in out.schema.fields[len(self.keep) :] if f.dataType.simpleString() not in self.KINDS]
+        if odd:
+            raise ValueError(f"features of another kind than {', '.join(self.KINDS)}: {odd}")
+        return out
+
+    def extract(self, levels: DataFrame, *triggers: Trigger, stream: str = "market_id") -> DataFrame:
+        """Events to rows: the book is folded over every event, to this graph's depth; the triggers choose rows afterwards."""
+        states = replay(levels, self.depth)
+        return self.over(emitted(states, stream, *triggers) if triggers else states)
+
+
+# ---------------------------------------------------------------- triggers
 
 
 def always() -> Trigger:

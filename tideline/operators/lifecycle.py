@@ -66,6 +66,11 @@ def monitor_windows(df: DataFrame, interval_s: int, value: str, ts: str = "times
     return df.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / float(interval_s)).alias("rate"), q(0.5).alias("p50"), q(0.99).alias("p99"), q(0.999).alias("p999"), F.max(value).alias("max_value"))
 
 
+def symbol_name(type_id: Column, market_id: Column) -> Column:
+    """What a message is dealt by: its market if it is a book event, else its type."""
+    return F.when(type_id == 0x1000, F.concat(F.lit("MARKET_"), market_id.cast("string"))).otherwise(F.concat(F.lit("TYPE_"), type_id.cast("string")))
+
+
 def per_symbol(df: DataFrame, workers: int, symbol: str = "market_id") -> DataFrame:
     """Messages and symbols of each worker; a symbol belongs to one."""
     return df.groupBy((F.col(symbol) % workers).alias("worker")).agg(F.count(F.lit(1)).alias("messages"), F.countDistinct(symbol).alias("symbols"))

@@ -44,8 +44,9 @@ def planned(df: DataFrame, stream: str, order: str = "seq", records: int | None
     return rows.repartition("_key").sortWithinPartitions("_key", order).mapInPandas(fold, df.schema)
 
 
-def latest_before(snapshots: DataFrame, target: int, column: str = "seq", key: str = "market_id") -> DataFrame:
-    """For each key the snapshot with the largest value up to the target; ties go to the least seq."""
+def latest_before(snapshots: DataFrame, target: int, column: str = "seq", key: str = "market_id", venue_id: int | None = None) -> DataFrame:
+    """For each key the snapshot with the largest value up to the target; ties go to the least seq. venue_id: of this venue only."""
+    snapshots = snapshots if venue_id is None else snapshots.where(F.col("venue_id") == venue_id)
     best = F.max_by(F.struct(*snapshots.columns), F.struct(F.col(column), -F.col("seq")))
     return snapshots.where(F.col(column) <= target).groupBy(key).agg(best.alias("s")).select("s.*")
 
@@ -96,11 +97,11 @@ BOOK_EVENT, SNAPSHOT_VERSION, MODE_L2 = 0x1000, 1, 0
 HEADER_BYTES, COUNTS_BYTES, LEVEL_BYTES = 64, 12, 16
 
 
-def write_snapshots(books: DataFrame, path: str, venue_id: int = 0) -> None:
+def write_snapshots(books: DataFrame, path: str, venue_id: int = 0, mode: str = "append") -> None:
     """Appends states of whole books (replay, depth None). Spark's commit makes a snapshot appear whole or not at all."""
     size = HEADER_BYTES + COUNTS_BYTES + LEVEL_BYTES * (F.size("bid_prices") + F.size("ask_prices"))
     head = {"version": F.lit(SNAPSHOT_VERSION), "book_mode": F.lit(MODE_L2), "venue_id": F.lit(venue_id), "size": size.cast("long")}
-    books.withColumns(head).sortWithinPartitions("market_id", "seq").write.mode("append").parquet(path)
+    books.withColumns(head).sortWithinPartitions("market_id", "seq").write.mode(mode).parquet(path)
 
 
 def read_snapshots(spark, path: str, venue_id: int | None = None) -> DataFrame:
@@ -132,6 +133,6 @@ def snapshot_service(stream: DataFrame, path: str, checkpoint: str, make, venue_
     states of whole books). The dimension or any other table that make reads is read anew for each batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        write_snapshots(make(batch), f"{path}/batch={number}", venue_id)
+        write_snapshots(make(batch), f"{path}/batch={number}", venue_id, "overwrite")  # a batch that comes again replaces itself
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

@@ -120,6 +120,9 @@ over_messages("fanin_committed", """, s AS (SELECT *, CASE ev WHEN 1 THEN 0 ELSE
 over_messages("fanin_pending", "SELECT CASE ev WHEN 1 THEN 0 ELSE 1 END AS source, count(*) AS pending FROM m WHERE ev IN (1, 2) AND seq > CASE ev WHEN 1 THEN 4000 ELSE 7000 END GROUP BY 1",
               lambda m: merge.pending([m.where("ev = 1"), m.where("ev = 2")], {0: 4000, 1: 7000}))
 
+over_messages("symbol_names", """SELECT CASE WHEN ev <> 4 THEN 'MARKET_' || market_id ELSE 'TYPE_4097' END AS symbol, count(*) AS n FROM m GROUP BY 1""",
+              lambda m: m.select(lifecycle.symbol_name(F.expr("CASE WHEN ev <> 4 THEN 4096 ELSE 4097 END"), F.col("market_id")).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")))
+
 # ---------------------------------------------------------------- statistics
 
 over_messages("sample_quantile", "SELECT value AS quantile FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM m) WHERE k = CAST(floor(n * 0.99) AS BIGINT)",

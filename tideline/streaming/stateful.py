@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.functions.scalar import path_component
 from tideline.operators.book_l2 import Book, ordered
 
 
@@ -17,6 +18,26 @@ def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def try_open(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame | None:
+    """read_log, or None if there is nothing at the path yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return read_log(spark, path, schema, files_per_trigger) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def named_reader(stream: DataFrame, root: str, name: str, write: Callable[[DataFrame, int], None]):
+    """Runs ``write(batch, number)`` over what is new for the reader of this name, then stops: its position is its checkpoint, so a
+    next run goes on where this one ended. A batch whose write failed comes again under its number: at least once."""
+    path_component(name)
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root.rstrip('/')}/readers/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def once_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for named_reader in which a batch that comes again replaces itself, so each row is there once."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+
 def best_quotes(levels: DataFrame) -> DataFrame:
     """The best quotes after each event of a market; events of a batch are folded in order of seq, across batches as they arrive.
     The rows of one event have to arrive in one batch."""
