@@ -13,7 +13,7 @@ that stand in the item's slots must map one to one to the document's. An item is
 alignments cover SHARE of the windows of one of its forms. Nothing is capped.
 
 A null or empty text has no windows. Documents with one doc_id, or none, are told apart by their text; repeated rows give
-one result row. Repeated items are items of their own. Of ties nothing depends: every item found is returned. An empty
+one result row. Items of one item_id are told apart by their text. Of ties nothing depends: every item found is returned. An empty
 table of either kind gives no rows. Other columns are ignored.
 """
 
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import _BASE, _INV, _LOWER, BLANKS, buffers, inside, lean, mix, packed, pieces, powers, table, unpacked, window_hashes, words_of
+from tideline.llm.common import _BASE, _INV, _LOWER, BLANKS, Scratch, buffers, inside, lean, mix, packed, pieces, powers, table, unpacked, window_hashes, words_of
 
 WINDOW = 8
 SHARE = 0.6
@@ -96,12 +96,12 @@ def _plain(first: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return at, window_hashes(h, size)[at] ^ _PLAIN
 
 
-ITEM = "item_id long, item int, form int, k int, n int, size int, h long, slots array<long>"
+ITEM = "item_id long, item long, form int, k int, n int, size int, h long, slots array<long>"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts, rows = b["item_id"].to_pylist(), b["text"].to_pylist(), []
+        ids, texts, keys, rows = b["item_id"].to_pylist(), b["text"].to_pylist(), b["item"].to_pylist(), []
         offsets, data = buffers(b["text"])
         for i, item in enumerate(ids):
             first, t, slots, plain = templates(offsets[i : i + 2], data)
@@ -115,11 +115,11 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size < WINDOW and (s == 0).sum() * 2 < size:
                     continue
                 at, h = _windows(first, x, s, size)
-                rows += [(item, i, form, int(k), len(at), size, int(y), s[k : k + size].view(np.int64).tolist()) for k, y in zip(at, h.view(np.int64), strict=True)]
+                rows += [(item, keys[i], form, int(k), len(at), size, int(y), s[k : k + size].view(np.int64).tolist()) for k, y in zip(at, h.view(np.int64), strict=True)]
             at, h = _plain(first, plain, size)
-            rows += [(item, i, 2, int(k), len(at), size, int(y), []) for k, y in zip(at, h.view(np.int64), strict=True)]
+            rows += [(item, keys[i], 2, int(k), len(at), size, int(y), []) for k, y in zip(at, h.view(np.int64), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.list_(pa.int64())), strict=True)], names=[x.split()[0] for x in ITEM.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.int64())), strict=True)], names=[x.split()[0] for x in ITEM.split(", ")])
 
 
 def _bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -144,9 +144,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str | None = None) -> DataFr
     """(doc_id, item_id, share, n_slots) for each document and item found in it; docs(doc_id, text), items(item_id, text).
 
     key: a long column that tells documents of one doc_id apart, returned as well (a row for each); without it their texts do."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).withColumn("item", F.xxhash64("item_id", "text")).distinct()
     windows = items.repartition(1 if items.limit(20_001).count() <= 20_000 else 64, F.xxhash64("text")).mapInArrow(lean(_items), ITEM)
-    windows = windows.withColumn("item", F.xxhash64("item_id", "item", "n"))
     bits, short = _bitmap(windows)
     shared = docs.sparkSession.sparkContext.broadcast((packed(bits), short))
     del bits
@@ -172,7 +171,17 @@ def matches(docs: DataFrame, items: DataFrame, key: str | None = None) -> DataFr
 
     row = F.xxhash64("doc_id", "text") if key is None else F.col(key).cast("long")
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", row.alias("row"))
-    hits = docs.mapInArrow(lean(run), "doc_id long, row long, pos int, h long, found array<long>").join(windows, "h")
+    scratch = Scratch(docs.sparkSession)
+    windows, hits = scratch.keep(windows, "windows"), scratch.keep(docs.mapInArrow(lean(run), "doc_id long, row long, pos int, h long, found array<long>"), "hits")
+    # a form that is found misses at most n - ceil(SHARE * n) windows: one of so many and one more, its rarest, names each
+    # candidate. So windows that many items share, as boilerplate is, bring no pairs of their own
+    often = windows.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    rarest = Window.partitionBy("item", "form").orderBy("often", "h", "k")
+    names = windows.join(often, "h").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("n") - F.ceil(SHARE * F.col("n") - 1e-9) + 1)
+    asked = hits.select("doc_id", "row", "h").distinct().join(names.select("h", "item", "form"), "h").select("doc_id", "row", "item", "form").distinct()
+    asked = asked.join(windows, ["item", "form"])
+    same = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("row") == F.col("r")) & (F.col("h") == F.col("w"))
+    hits = asked.join(hits.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("h").alias("w"), "pos", "found"), same).drop("d", "r", "w")
     # one row for each alignment: windows covered, and the pairs of values in its slots
     of = ["doc_id", "row", "item_id", "item", "form", "n"]
     pairs = F.array_distinct(F.filter(F.arrays_zip("slots", "found"), lambda x: x["slots"] != 0))

@@ -93,6 +93,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     digested = pages.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
     key = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("url").alias("u"))
     heads = digested.where(F.col("bytes") >= PAYLOAD_LEAST).groupBy("sha1").agg(F.max(key).alias("head"), F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that a join with them is a broadcast where they are few, and else split where a payload is hot
+    heads = Scratch(pages.sparkSession).keep(heads, "heads")
     marked = digested.join(heads, "sha1", "left").withColumn("revisit", F.col("n").isNotNull() & (F.col("head") != key))
     # rows that repeat the head in page_id and url: one of them is the response
     again = heads.join(digested, "sha1").where(F.col("head") == key).groupBy("sha1").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
