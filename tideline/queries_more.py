@@ -52,7 +52,13 @@ _EVENTS = """v AS (SELECT *, lag(n) OVER (PARTITION BY market_id ORDER BY seq) A
  w AS (SELECT *, CASE WHEN n <> p + 1 THEN 'Gap' WHEN ev NOT IN (1, 2) THEN 'UnsupportedEvent' END AS skipped FROM v) """
 
 
-@query("l2_statuses", _L + _EVENTS + "SELECT market_id, n AS seq, min(seq) AS first_seq, any_value(skipped) AS skipped FROM w GROUP BY 1, 2 HAVING count(*) = 1")
+@query(
+    "l2_statuses",
+    _L + _EVENTS + (
+        "SELECT market_id, n AS seq, min(seq) AS first_seq, any_value(skipped) AS skipped FROM w GROUP BY 1, 2 "
+        "HAVING count(*) = 1"
+    ),
+)
 def _l2_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events under the quarantine policy, numbered so that they have gaps; only numbers that one event has."""
     rows = levels(spark, sf_dir).withColumn("first_seq", F.col("seq")).withColumn("seq", F.expr("seq div 32"))
@@ -92,21 +98,46 @@ def _snapshot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sources, sampling, callbacks
 
 over_messages("partition_all", f"SELECT {COLS} FROM m", lambda m: m.where(filters.All().column(["market_id"])).select(*KEEP))
-over_messages("for_each_available", f"SELECT {COLS} FROM m WHERE seq BETWEEN 1 AND 500 AND seq < coalesce((SELECT min(seq) FROM m WHERE seq BETWEEN 1 AND 500 AND price = 10024), 501)",
-              lambda m: src.for_each_available(m.where("seq >= 1"), 500, F.expr("price <> 10024")).select(*KEEP))
-over_messages("start_after_commit", f"SELECT {COLS} FROM m WHERE seq > 9000", lambda m: src.start_at(m, "resume_strict", committed=9000).select(*KEEP))
-over_messages("partition_rolls", "SELECT seq, event_type, prev_part FROM (SELECT seq, event_type, lag(event_type) OVER (ORDER BY seq) AS prev_part FROM m) WHERE event_type <> prev_part",
-              lambda m: merge.rolls(m, "event_type").where("event_type <> prev_part").select("seq", "event_type", "prev_part"))
-over_messages("gap_whole_log", "SELECT seq, prev FROM (SELECT seq, lag(seq) OVER (ORDER BY seq) AS prev FROM m WHERE seq % 17 <> 0) WHERE seq <> prev + 1",
-              lambda m: filters.gaps(m.where("seq % 17 <> 0")).where("is_gap").select("seq", "prev"))
-over_messages("rolling_stats_whole_log", "SELECT count(*) AS messages_written, CAST(sum(c) AS BIGINT) AS partition_rolls, CAST(sum(c) + 1 AS BIGINT) AS partitions_written FROM (SELECT CASE WHEN event_type <> lag(event_type) OVER (ORDER BY seq) THEN 1 ELSE 0 END AS c FROM m)",
-              lambda m: merge.rolling_stats(m, "event_type"))
+over_messages(
+    "for_each_available",
+    f"SELECT {COLS} FROM m WHERE seq BETWEEN 1 AND 500 AND seq < coalesce((SELECT min(seq) FROM m WHERE seq "
+    "BETWEEN 1 AND 500 AND price = 10024), 501)",
+    lambda m: src.for_each_available(m.where("seq >= 1"), 500, F.expr("price <> 10024")).select(*KEEP),
+)
+over_messages(
+    "start_after_commit",
+    f"SELECT {COLS} FROM m WHERE seq > 9000",
+    lambda m: src.start_at(m, "resume_strict", committed=9000).select(*KEEP),
+)
+over_messages(
+    "partition_rolls",
+    "SELECT seq, event_type, prev_part FROM (SELECT seq, event_type, lag(event_type) OVER (ORDER BY seq) AS "
+    "prev_part FROM m) WHERE event_type <> prev_part",
+    lambda m: merge.rolls(m, "event_type").where("event_type <> prev_part").select("seq", "event_type", "prev_part"),
+)
+over_messages(
+    "gap_whole_log",
+    "SELECT seq, prev FROM (SELECT seq, lag(seq) OVER (ORDER BY seq) AS prev FROM m WHERE seq % 17 <> 0) "
+    "WHERE seq <> prev + 1",
+    lambda m: filters.gaps(m.where("seq % 17 <> 0")).where("is_gap").select("seq", "prev"),
+)
+over_messages(
+    "rolling_stats_whole_log",
+    "SELECT count(*) AS messages_written, CAST(sum(c) AS BIGINT) AS partition_rolls, CAST(sum(c) + 1 AS "
+    "BIGINT) AS partitions_written FROM (SELECT CASE WHEN event_type <> lag(event_type) OVER (ORDER BY seq) "
+    "THEN 1 ELSE 0 END AS c FROM m)",
+    lambda m: merge.rolling_stats(m, "event_type"),
+)
 over_messages("update_id_continuity", """, u AS (SELECT *, seq - seq % 3 AS first_id, seq + seq % 5 AS last_id FROM m WHERE seq % 11 <> 0),
  x AS (SELECT *, max(last_id) OVER (PARTITION BY market_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM u)
  SELECT seq, market_id, CASE WHEN l IS NULL THEN 'first' WHEN last_id <= l THEN 'stale' WHEN first_id > l + 1 THEN 'gap' ELSE 'next' END AS continuity FROM x""",
               lambda m: filters.update_gaps(m.where("seq % 11 <> 0").selectExpr("seq", "market_id", "seq - seq % 3 AS update_id_first", "seq + seq % 5 AS update_id_last"), "market_id").select("seq", "market_id", "continuity"))
 
-_HEAD = "seq % 9 = 0 AS is_gap, CASE WHEN seq % 7 = 0 THEN 4097 ELSE 4096 END AS type_id, seq % 13 <> 0 AS header_ok, CAST(seq % 11 = 0 AS INT) AS book_mode, ev AS event_type, CASE WHEN seq % 19 = 0 THEN 100 ELSE 128 END AS record_len"
+_HEAD = (
+    "seq % 9 = 0 AS is_gap, CASE WHEN seq % 7 = 0 THEN 4097 ELSE 4096 END AS type_id, seq % 13 <> 0 AS "
+    "header_ok, CAST(seq % 11 = 0 AS INT) AS book_mode, ev AS event_type, CASE WHEN seq % 19 = 0 THEN 100 ELSE "
+    "128 END AS record_len"
+)
 over_messages("event_status", f"""SELECT seq, CASE WHEN is_gap THEN 'Gap' WHEN type_id <> 4096 THEN 'NonBookEvent' WHEN NOT header_ok THEN 'Corrupt' WHEN book_mode <> 0 THEN 'UnsupportedMode'
  WHEN event_type NOT IN (1, 2) THEN 'UnsupportedEvent' END AS skipped FROM (SELECT seq, {_HEAD} FROM m)""",
               lambda m: filters.event_status(m.selectExpr("seq", *_HEAD.split(", "))).select("seq", "skipped"))
@@ -117,16 +148,24 @@ over_messages("l3_decode", f"""SELECT seq, CASE WHEN type_id <> 4096 THEN 'NonBo
 over_messages("fanin_committed", """, s AS (SELECT *, CASE ev WHEN 1 THEN 0 ELSE 1 END AS source FROM m WHERE ev IN (1, 2) AND seq > CASE ev WHEN 1 THEN 4000 ELSE 7000 END),
  r AS (SELECT *, max(timestamp_ns) OVER (PARTITION BY source ORDER BY seq ROWS UNBOUNDED PRECEDING) AS merge_ts FROM s)
  SELECT seq, source, merge_ts FROM r""", lambda m: merge.fan_in([m.where("ev = 1"), m.where("ev = 2")], committed={0: 4000, 1: 7000}, ranges=True).select("seq", "source", "merge_ts"))
-over_messages("fanin_pending", "SELECT CASE ev WHEN 1 THEN 0 ELSE 1 END AS source, count(*) AS pending FROM m WHERE ev IN (1, 2) AND seq > CASE ev WHEN 1 THEN 4000 ELSE 7000 END GROUP BY 1",
-              lambda m: merge.pending([m.where("ev = 1"), m.where("ev = 2")], {0: 4000, 1: 7000}))
+over_messages(
+    "fanin_pending",
+    "SELECT CASE ev WHEN 1 THEN 0 ELSE 1 END AS source, count(*) AS pending FROM m WHERE ev IN (1, 2) AND "
+    "seq > CASE ev WHEN 1 THEN 4000 ELSE 7000 END GROUP BY 1",
+    lambda m: merge.pending([m.where("ev = 1"), m.where("ev = 2")], {0: 4000, 1: 7000}),
+)
 
 over_messages("symbol_names", """SELECT CASE WHEN ev <> 4 THEN 'MARKET_' || market_id ELSE 'TYPE_4097' END AS symbol, count(*) AS n FROM m GROUP BY 1""",
               lambda m: m.select(lifecycle.symbol_name(F.expr("CASE WHEN ev <> 4 THEN 4096 ELSE 4097 END"), F.col("market_id")).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")))
 
 # ---------------------------------------------------------------- statistics
 
-over_messages("sample_quantile", "SELECT value AS quantile FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM m) WHERE k = CAST(floor(n * 0.99) AS BIGINT)",
-              lambda m: lifecycle.sample_quantile(m, "value", 0.99))
+over_messages(
+    "sample_quantile",
+    "SELECT value AS quantile FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER "
+    "() AS n FROM m) WHERE k = CAST(floor(n * 0.99) AS BIGINT)",
+    lambda m: lifecycle.sample_quantile(m, "value", 0.99),
+)
 over_messages("extractor_stats", """SELECT count(*) AS messages, count(*) FILTER (ev IN (1, 2)) AS events, count(*) FILTER (ev NOT IN (1, 2)) AS skipped, count(*) FILTER (ev IN (1, 2) AND seq % 10 = 0) AS rows,
  CAST(ceil(count(*) FILTER (ev IN (1, 2) AND seq % 10 = 0) / 64.0) AS BIGINT) AS batches FROM m""", lambda m: lifecycle.extractor_stats(m, 64, F.expr("seq % 10 = 0")))
 
@@ -138,7 +177,10 @@ def _lifecycle_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.lifecycle_totals(runs)
 
 
-_READERS = "SELECT 'r' || s_suppkey AS name, 5 + s_suppkey % 40 AS segment_id, s_suppkey * 7 % 1024 AS \"offset\", CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 100000000000 END AS last_heartbeat_ns FROM supplier"
+_READERS = (
+    "SELECT 'r' || s_suppkey AS name, 5 + s_suppkey % 40 AS segment_id, s_suppkey * 7 % 1024 AS \"offset\", CASE "
+    "WHEN s_suppkey % 5 = 0 THEN 1 ELSE 100000000000 END AS last_heartbeat_ns FROM supplier"
+)
 
 
 @query("removable_segments", f"""SELECT p_partkey AS segment_id FROM part WHERE p_partkey < 40 AND p_partkey <
@@ -164,7 +206,10 @@ def _discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- dimension, refinery
 
-_V = "SELECT DISTINCT user_id % 8 AS market_id, 0 AS load_ord, user_id % 8 + 500 AS symbol_id, 0 AS valid_from_ts, 4102444800000000 AS valid_until_ts FROM {events}"
+_V = (
+    "SELECT DISTINCT user_id % 8 AS market_id, 0 AS load_ord, user_id % 8 + 500 AS symbol_id, 0 AS "
+    "valid_from_ts, 4102444800000000 AS valid_until_ts FROM {events}"
+)
 
 
 @query("symbol_complete", M + "SELECT seq, market_id + 500 AS symbol_id FROM m")
@@ -195,7 +240,10 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tran
  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
 
 
-@query("symbol_version_id", "SELECT c_custkey, CAST(" + _FNV.format(text="c_custkey || ':' || c_custkey * 10 || ':' || (c_custkey * 10 + 7)") + " AS DECIMAL(20, 0)) AS version_id FROM customer")
+@query(
+    "symbol_version_id",
+    "SELECT c_custkey, CAST(" + _FNV.format(text="c_custkey || ':' || c_custkey * 10 || ':' || (c_custkey * 10 + 7)") + " AS DECIMAL(20, 0)) AS version_id FROM customer",
+)
 def _version_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables(spark, sf_dir, "SELECT c_custkey FROM {customer}", "customer")
     return c.select("c_custkey", scalar.version_id(F.col("c_custkey"), F.col("c_custkey") * 10, F.col("c_custkey") * 10 + 7).alias("version_id"))
@@ -208,7 +256,10 @@ def _text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", kv["sym"].alias("sym"), kv["px"].alias("px"))
 
 
-_STAMP = "lpad(CAST(9 + o_orderkey % 7 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')"
+_STAMP = (
+    "lpad(CAST(9 + o_orderkey % 7 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || "
+    "lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')"
+)
 
 
 @query("exchange_time", f"""SELECT o_orderkey, epoch_us(strptime(left(s, 14), '%Y%m%d%H%M%S')) * 1000 + CAST(right(s, 3) AS BIGINT) * 1000000 AS ns,
@@ -243,7 +294,19 @@ def _l3_life_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book_l3.final_books(rows.join(flagged, "order_id", "left_anti")).where("kind = 'level'").select("market_id", "side", "price", "qty")
 
 
-query("crc_checksums", M + "SELECT seq, " + _CRC.format(text="event_type") + " AS checksum FROM m")(lambda spark, sf_dir: src.messages(spark, sf_dir).select("seq", scalar.payload_crc32(F.col("event_type")).alias("checksum")))
-query("symbol_hashes", "SELECT c_custkey, CAST(h AS DECIMAL(20, 0)) AS hash, CAST(xor(h // 4294967296, h % 4294967296) AS BIGINT) AS market_id FROM (SELECT c_custkey, " + _FNV.format(text="c_name") + " AS h FROM customer)")(
-    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", scalar.symbol_hash("c_name").alias("hash"), scalar.market_id("c_name").alias("market_id"))
-)
+query("crc_checksums", M + "SELECT seq, " + _CRC.format(text="event_type") + " AS checksum FROM m")(
+    lambda spark, sf_dir: src.messages(spark, sf_dir).select("seq", scalar.payload_crc32(F.col("event_type")).alias("checksum")),
+)
+query(
+    "symbol_hashes",
+    (
+        "SELECT c_custkey, CAST(h AS DECIMAL(20, 0)) AS hash, CAST(xor(h // 4294967296, h % 4294967296) AS "
+        "BIGINT) AS market_id FROM (SELECT c_custkey, "
+    ) + _FNV.format(text="c_name") + " AS h FROM customer)",
+)(
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey",
+        scalar.symbol_hash("c_name").alias("hash"),
+        scalar.market_id("c_name").alias("market_id"),
+    ),
+)
