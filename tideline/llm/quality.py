@@ -236,4 +236,36 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    return judged.select("doc_id", *_COUNTS, "base_failed", "kept")
+
+
+ORACLE_SQL = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, unnest(range(1, len(w) - 1)) AS u(i)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM grams),
+again AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, unnest([0, 1, 2]) AS v(j) WHERE k > 1 GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+b AS (SELECT doc_id, r, lang, w, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, CAST(len(regexp_extract_all(text, '{SYMBOLS}')) AS BIGINT) AS n_symbols,
+      CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(text) AS chars, strlen(text) - length(text) AS other,
+      len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[0-9]')) AS digit, len(regexp_extract_all(text, '{MARKS.replace("'", "''")}')) AS mark
+      FROM t JOIN lines USING (r) LEFT JOIN again USING (r)),
+c AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, lang IS NOT NULL AND n_words >= {MIN_WORDS} AND n_symbols * 50 < word_chars AS fit,
+      list_transform([greatest(chars - upper - digit - (chars - word_chars) - n_symbols - mark - other, 0), upper, digit, chars - word_chars, n_symbols, mark, other], lambda x: x / greatest(chars, 1)) AS shares FROM b),
+counts AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM c WHERE fit) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS k, sum(n) OVER (PARTITION BY lang) AS total FROM counts) WHERE k <= {COMMON}),
+refs AS (SELECT lang, sum(n) AS common, sum(n) / any_value(total) AS share FROM top GROUP BY lang HAVING sum(n) / any_value(total) * {MIN_WORDS} * {LEAST_COMMON} >= 1),
+q AS (SELECT lang, x, n / common AS q FROM top JOIN refs USING (lang)),
+class AS (SELECT lang, j, avg(shares[j]) AS q FROM c JOIN refs USING (lang), unnest(range(1, 8)) AS v(j) WHERE fit GROUP BY ALL),
+jc AS (SELECT r, class.lang, sum(0.5 * (CASE WHEN shares[j] > 0 THEN shares[j] * log2(shares[j] / ((shares[j] + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((shares[j] + q) / 2)) ELSE 0 END)) AS d
+       FROM c, class GROUP BY ALL),
+own AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM c) GROUP BY ALL),
+f AS (SELECT r, q.lang, x, q, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY r, q.lang) AS total FROM c CROSS JOIN q LEFT JOIN own USING (r, x)),
+jw AS (SELECT r, lang, any_value(total) AS total, sum(0.5 * (CASE WHEN n > 0 THEN n / total * log2(n / total / ((n / total + q) / 2)) ELSE 0 END + q * log2(q / ((n / total + q) / 2)))) AS d
+       FROM f WHERE total > 0 GROUP BY r, lang),
+good AS (SELECT DISTINCT r FROM jw JOIN jc USING (r, lang) JOIN refs USING (lang) JOIN c USING (r)
+         WHERE jc.d <= {MOST_CLASS} AND total / n_words / refs.share >= {LEAST_COMMON} AND (total < {MIN_COMMON_WORDS} OR jw.d <= {MOST_COMMON}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (r IN (SELECT r FROM good) OR (SELECT count(*) FROM refs) = 0 OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM refs))) AS kept
+FROM c
+"""

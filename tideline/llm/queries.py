@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, warc
+from tideline.llm import chat, jaccard, quality, substring, urls, warc
 from tideline.llm.chat import op6_chat_format
 from tideline.llm.decontaminate import op4_decontaminate
 from tideline.llm.jaccard import op8_ngram_jaccard
@@ -28,6 +28,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_substring_dedup": substring.ORACLE_SQL,
+    "op2_url_filter": urls.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
+    "op8_ngram_jaccard": jaccard.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
+    "op10_quality_rules": quality.ORACLE_SQL,
 }

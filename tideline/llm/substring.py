@@ -289,3 +289,15 @@ def dedup_substrings(docs: DataFrame, key: str | None = None) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, r, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM t, unnest(range(1, len(w) - 48)) AS u(i)),
+firsts AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, i + k AS p FROM win JOIN firsts USING (h), unnest(range(0, 50)) AS v(k) WHERE win.doc_id > firsts.d),
+word AS (SELECT r, p, w[p] AS x FROM t, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
+"""

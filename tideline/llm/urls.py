@@ -19,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import Scratch, table
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -74,18 +74,20 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(antecedent array, confidence, support) of rules for bad pages, from pages(path, tokens) and labels(doc_id, quality, toxic)."""
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     shown = F.regexp_extract("path", DOCUMENT, 1)
-    marked = pages.select("tokens", F.when(shown != "", shown.cast("long")).alias("d")).join(bad, "d").select("tokens", "bad")
+    scratch = Scratch(pages.sparkSession)
+    marked = scratch.keep(pages.select("tokens", F.when(shown != "", shown.cast("long")).alias("d")).join(bad, "d").select("tokens", "bad"), "marked")
     n, n_bad = marked.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     none = pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support long")
     if n_bad < MIN_PAGES:
         return none
     model = FPGrowth(itemsCol="tokens", minSupport=max(SUPPORT, MIN_PAGES / n_bad)).fit(marked.where("bad").select("tokens"))
     # a host's suffixes contain each other: one of them says it all
-    sets = model.freqItemsets.select(F.sort_array("items").alias("antecedent"), "freq").where(F.size(F.filter("items", lambda t: t.startswith("host:"))) <= 1)
+    sets = scratch.keep(model.freqItemsets.select(F.sort_array("items").alias("antecedent"), "freq").where(F.size(F.filter("items", lambda t: t.startswith("host:"))) <= 1), "sets")
     totals = _having(marked, sets).groupBy("antecedent").agg(F.count_if("bad").alias("support"), F.count(F.lit(1)).alias("total"))
     sure = totals.select("antecedent", (F.col("support") / F.col("total")).alias("confidence"), "support").where((F.col("confidence") >= CONFIDENCE) & (F.col("confidence") >= LIFT * n_bad / n))
+    sure = scratch.keep(sure, "rules")
     larger = _having(sure.select(F.col("antecedent").alias("tokens")), sure.select("antecedent")).where(F.size("tokens") > F.size("antecedent")).select(F.col("tokens").alias("antecedent")).distinct()
-    return sure.join(larger, "antecedent", "left_anti")
+    return scratch.keep(sure.join(larger, "antecedent", "left_anti"), "minimal")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -100,8 +102,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
     pages = pages.withColumn("tokens", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(tokens(url, F.col("host"), F.col("path"))))
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
-    judged = pages.withColumn("rule", rule).withColumn("fixed", verdict)
-    mined = mine(pages.select("path", "tokens"), labels)
+    # written: the expressions for tokens are large, and would stand in every plan below
+    judged = Scratch(pages.sparkSession).keep(pages.withColumn("rule", rule).withColumn("fixed", verdict), "judged")
+    mined = mine(judged.select("path", "tokens"), labels)
     open_ = judged.where("fixed is null and url is not null").groupBy("url").agg(F.first("tokens").alias("tokens"))
     hit = matched(open_, mined).select(F.col("url").alias("u"))
     out = judged.join(hit, F.col("url") == F.col("u"), "left")
@@ -110,3 +113,27 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL = rf"""
+WITH p AS (SELECT page_id, row_number() OVER () AS r, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, r, url, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), '{_UPPER}', '{_UPPER.lower()}') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}) AS x(rh, rp, rv)),
+e AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS fixed FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r),
+k AS (SELECT r, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter(list_concat(
+        list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'host:' || array_to_string(string_split(host, '.')[i:], '.')),
+        list_transform(string_split(path, '/'), lambda x: 'path:' || regexp_replace(x, '\.\w+$', '')),
+        list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: 'query:' || string_split(x, '=')[1])), lambda x: NOT regexp_matches(x, '^(path|query):[0-9]*$')))) END AS toks FROM h),
+bad AS (SELECT doc_id, max(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT r, toks, bad FROM h JOIN k USING (r) JOIN bad ON doc_id = TRY_CAST(regexp_extract(path, '{DOCUMENT}', 1) AS BIGINT)),
+f AS (SELECT count(*) AS n, count(*) FILTER (bad) AS n_bad FROM m),
+items AS (SELECT x FROM (SELECT unnest(toks) AS x FROM m WHERE bad) GROUP BY x HAVING count(*) >= {MIN_PAGES}),
+o AS (SELECT r, bad, list_filter(toks, lambda x: list_contains(every, x)) AS toks FROM m, (SELECT coalesce(list(x), []) AS every FROM items)),
+sets AS (SELECT r, bad, list_filter(toks, lambda x, i: (s >> (i - 1)) & 1 = 1) AS a FROM o, unnest(range(1, 1 << len(toks))) AS u(s)),
+tried AS (SELECT a, count(*) AS total, count(*) FILTER (bad) AS n_set FROM sets WHERE len(list_filter(a, lambda x: starts_with(x, 'host:'))) <= 1 GROUP BY a),
+sure AS (SELECT a FROM tried, f WHERE n_bad >= {MIN_PAGES} AND n_set >= greatest({MIN_PAGES}, {SUPPORT} * n_bad) AND n_set >= {CONFIDENCE} * total AND n_set / total >= {LIFT} * n_bad / n),
+least AS (SELECT a FROM sure WHERE NOT EXISTS (SELECT 1 FROM sure z WHERE len(z.a) < len(sure.a) AND list_has_all(sure.a, z.a))),
+hit AS (SELECT DISTINCT r FROM k JOIN least ON list_has_all(toks, a))
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN r IN (SELECT r FROM hit) THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN e USING (r)
+"""
