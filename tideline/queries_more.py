@@ -150,8 +150,8 @@ over_messages("fanin_committed", """, s AS (SELECT *, CASE ev WHEN 1 THEN 0 ELSE
  SELECT seq, source, merge_ts FROM r""", lambda m: merge.fan_in([m.where("ev = 1"), m.where("ev = 2")], committed={0: 4000, 1: 7000}, ranges=True).select("seq", "source", "merge_ts"))
 over_messages(
     "fanin_pending",
-    "SELECT CASE ev WHEN 1 THEN 0 ELSE 1 END AS source, count(*) AS pending FROM m WHERE ev IN (1, 2) AND "
-    "seq > CASE ev WHEN 1 THEN 4000 ELSE 7000 END GROUP BY 1",
+    "SELECT source, count(seq) AS pending FROM (VALUES (0, 1, 4000), (1, 2, 7000)) AS v(source, e, c) "
+    "LEFT JOIN m ON ev = e AND seq > c GROUP BY source",
     lambda m: merge.pending([m.where("ev = 1"), m.where("ev = 2")], {0: 4000, 1: 7000}),
 )
 
