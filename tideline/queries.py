@@ -381,8 +381,8 @@ over_messages(
     "l2_warm_start",
     _BOOK.format(
         cut=(
-            "AND market_id = 3 AND seq <= (SELECT min(seq) FROM m WHERE market_id = 3 AND ev IN (1, 2) AND seq "
-            ">= 6000)"
+            "AND market_id = 3 AND seq <= coalesce("
+            "(SELECT min(seq) FROM m WHERE market_id = 3 AND ev IN (1, 2) AND seq >= 6000), 1000000000000)"
         ),
     ) + "SELECT * FROM b WHERE market_id = 3",
     lambda m: book_l2.warm_start(m, m.where("ev = 1 and market_id = 3 and seq <= 6000"), 3, 6000, "seq"),
