@@ -53,23 +53,40 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 class Scratch:
-    """Tables written to shared storage, which cut the lineage and survive lost executors; drop() deletes those no longer needed."""
+    """Tables written to shared storage, which cut the lineage and survive lost executors; drop() deletes those no longer needed.
+
+    What an operator returns still reads its tables. Who has written that result can clear() all tables made since a mark()."""
+
+    _written: list[str] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh(self.spark, name)
+        Scratch._written.append(path)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             delete(self.spark, df._scratch_path)
+            if df._scratch_path in Scratch._written:
+                Scratch._written.remove(df._scratch_path)
+
+    @staticmethod
+    def mark() -> int:
+        return len(Scratch._written)
+
+    def clear(self, mark: int, *but: DataFrame) -> None:
+        """Deletes the tables written since the mark, but for those given. Not while another thread uses operators of its own."""
+        kept = {df._scratch_path for df in but}
+        for path in Scratch._written[mark:]:
+            if path not in kept:
+                delete(self.spark, path)
+        Scratch._written[mark:] = [p for p in Scratch._written[mark:] if p in kept]
 
 
 def delete(spark: SparkSession, path: str) -> None:
