@@ -75,9 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, over all documents."""
-    scratch = Scratch(spark)
+    """The last stage's rows, over all documents. What a stage has written on its way goes when its result is written."""
+    scratch, mark = Scratch(spark), Scratch.mark()
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.clear(mark, docs)
     return docs
