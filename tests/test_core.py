@@ -36,7 +36,13 @@ def test_seek_is_positional(spark):
 def test_pipeline_counts_and_sampling_order(spark):
     out = []
     stats = ReplayPipeline.from_source(log(spark, range(100))).filter_types([1]).sample(10).sink(vec_sink(out)).run()
-    assert stats == {"read": 100, "written": 3, "filtered": 97}
+    assert (stats.read, stats.written, stats.filtered) == (100, 3, 97) and stats.seconds > 0 and stats.throughput > 0
+    assert ReplayPipeline.from_source(log(spark, range(100))).filter_types([1]).run().written == 0
+    holes = log(spark, range(10)).where("seq <> 4")
+    assert [r["seq"] for r in ReplayPipeline(holes).gaps("quarantine").df.orderBy("seq").collect()] == [0, 1, 2, 3, 6, 7, 8, 9]
+    with pytest.raises(Exception, match="missing 1"):
+        ReplayPipeline(holes).gaps("panic").run()
+    assert ReplayPipeline(holes).gaps("ignore").seek_seq(6).filter_types([1]).run().read == 4
     assert sorted(r["seq"] for r in out) == [28, 58, 88]
     assert rows(csv_rows(log(spark, [1, 2])).orderBy("seq"), "payload_len") == [(0,), (1,)]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation
@@ -12,24 +14,49 @@ from tideline.operators import filters
 from tideline.sources import messages as src
 
 
+@dataclass(frozen=True)
+class ReplayStats:
+    """Rows read, written (to a sink) and filtered out, and the seconds that took."""
+
+    read: int
+    written: int
+    filtered: int
+    seconds: float
+
+    @property
+    def throughput(self) -> float:
+        """Rows read in a second."""
+        return self.read / self.seconds if self.seconds else 0.0
+
+
 class ReplayPipeline:
-    """Steps apply in the order they are given: sampling counts the rows that earlier steps pass."""
+    """Steps apply in the order they are given: sampling counts the rows that earlier steps pass, gaps are seen by later ones."""
 
     def __init__(self, source: DataFrame, order: str = "seq", stream: str | None = None):
-        self.df, self.order, self.stream = source, order, stream
+        self.source, self.order, self.stream = source, order, stream
+        self.steps: list[Callable[[DataFrame], DataFrame]] = []
         self._sink: Callable[[DataFrame], Any] | None = None
-        self._read = source
 
     @classmethod
     def from_source(cls, source: DataFrame, **kw) -> ReplayPipeline:
         return cls(source, **kw)
 
+    def _applied(self, df: DataFrame) -> DataFrame:
+        for f in self.steps:
+            df = df.transform(f)
+        return df
+
+    @property
+    def df(self) -> DataFrame:
+        return self._applied(self.source)
+
     def seek_seq(self, target: int) -> ReplayPipeline:
-        self.df = self._read = src.seek(self.df, "seq", target, self.order)
+        """What has been read before the position counts neither as read nor as filtered."""
+        self.source, self.steps = src.seek(self.df, "seq", target, self.order), []
         return self
 
     def seek_timestamp(self, target: int) -> ReplayPipeline:
-        self.df = self._read = src.seek(self.df, "timestamp_ns", target, self.order)
+        self.source, self.steps = src.seek(self.df, "timestamp_ns", target, self.order), []
         return self
 
     def filter_time_range(self, start: int, end: int) -> ReplayPipeline:
@@ -41,21 +68,34 @@ class ReplayPipeline:
     def sample(self, n: int) -> ReplayPipeline:
         return self.transform(lambda d: filters.sample(d, n, self.order, self.stream))
 
+    def gaps(self, policy: str, column: str = "seq") -> ReplayPipeline:
+        """panic raises at a gap, quarantine drops the row after it, ignore keeps all."""
+
+        def step(d: DataFrame) -> DataFrame:
+            if policy == "ignore":
+                return d
+            kept = filters.apply_gap_policy(filters.gaps(d, self.stream, self.order, column), policy)
+            return kept.where(~F.col("is_gap")).drop("prev", "is_gap")
+
+        if policy not in ("panic", "quarantine", "ignore"):
+            raise ValueError(policy)
+        return self.transform(step)
+
     def transform(self, f: Callable[[DataFrame], DataFrame]) -> ReplayPipeline:
-        self.df = self.df.transform(f)
+        self.steps.append(f)
         return self
 
     def sink(self, write: Callable[[DataFrame], Any]) -> ReplayPipeline:
         self._sink = write
         return self
 
-    def run(self) -> dict[str, int]:
-        """read, written, filtered. Without a sink nothing counts as written."""
-        out = Observation("out")
-        observed = self.df.observe(out, F.count(F.lit(1)).alias("n"))
-        (self._sink or null_sink)(observed)
-        passed, read = out.get["n"], self._read.count()
-        return {"read": read, "written": passed if self._sink else 0, "filtered": read - passed}
+    def run(self) -> ReplayStats:
+        """One pass: the rows are counted as they are read and as they reach the sink. Without a sink nothing counts as written."""
+        began, read, out = time.monotonic(), Observation("read"), Observation("out")
+        one = F.count(F.lit(1)).alias("n")
+        (self._sink or null_sink)(self._applied(self.source.observe(read, one)).observe(out, one))
+        n, passed = read.get["n"], out.get["n"]
+        return ReplayStats(n, passed if self._sink else 0, n - passed, time.monotonic() - began)
 
 
 def null_sink(df: DataFrame) -> None:
