@@ -28,6 +28,8 @@ LIFT = 1.5
 #: Least share of the bad pages that have a rule's tokens, and their least number.
 SUPPORT = 0.002
 MIN_PAGES = 20
+#: Sets of tokens (some hundred bytes each) up to which their index is broadcast.
+INDEX = 20_000
 #: The document that a page shows.
 DOCUMENT = r"/([0-9]{1,18})/?(?:\.\w+)?$"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,12 +64,15 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def _having(urls: DataFrame, sets: DataFrame) -> DataFrame:
-    """urls(tokens, ...) joined with each of sets(antecedent) whose tokens it all has, through an inverted index of the sets' rarest tokens."""
+    """urls(tokens, ...) joined with each of sets(antecedent) whose tokens it all has, through an inverted index of the sets' rarest
+    tokens. Up to INDEX sets the index is broadcast, more go by a shuffle; urls are never broadcast, however small their file is."""
+    few = sets.limit(INDEX + 1).count() <= INDEX
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df.hint("merge"))
     needed = sets.select("antecedent", F.explode("antecedent").alias("token"))
     found = urls.withColumn("token", F.explode("tokens"))
-    often = found.join(needed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    often = found.join(small(needed.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     index = needed.join(often, "token", "left").groupBy("antecedent").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    return found.join(index, "token").where(F.size(F.array_intersect("tokens", "antecedent")) == F.size("antecedent")).drop("token")
+    return found.join(small(index), "token").where(F.size(F.array_intersect("tokens", "antecedent")) == F.size("antecedent")).drop("token")
 
 
 def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     shown = F.regexp_extract("path", DOCUMENT, 1)
     scratch = Scratch(pages.sparkSession)
-    marked = scratch.keep(pages.select("tokens", F.when(shown != "", shown.cast("long")).alias("d")).join(bad, "d").select("tokens", "bad"), "marked")
+    marked = scratch.keep(pages.select("tokens", F.when(shown != "", shown.cast("long")).alias("d")).hint("merge").join(bad, "d").select("tokens", "bad"), "marked")
     n, n_bad = marked.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     none = pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support long")
     if n_bad < MIN_PAGES:
