@@ -13,7 +13,7 @@ from tideline.operators import book_l2, book_l3, features, filters, lifecycle, m
 from tideline.plans import table as tables
 from tideline.plans.table import Table
 from tideline.sources import messages as src
-from tideline.sources import segments
+from tideline.sources import payloads, segments
 from tideline.streaming import stateful
 
 LEVELS = "market_id long, seq long, timestamp_ns long, ev int, side string, price long, size long, level_ord int"
@@ -364,3 +364,54 @@ def test_warm_start_reaches(spark):
     shots = df.where("ev = 1")
     assert [book_l2.reaches(df, shots, 1, t) for t in (10, 20, 45, 50, 51)] == [False, True, True, True, False]
     assert snapshots.latest_before(shots.withColumn("venue_id", F.lit(3)), 50, "timestamp_ns", venue_id=4).count() == 0
+
+
+def test_raw_log_to_books(spark, tmp_path):
+    """Segments of binary book events, decoded and replayed, with a status for every message."""
+    event = payloads.BOOK_EVENT
+    messages = [
+        (0, 10, event, payloads.diff_payload([(99, 1)], [], 7)),
+        (1, 20, event, payloads.snapshot_payload({100: 5, 98: 2}, {101: 6}, 7, (2, 3))),
+        (2, 30, event, payloads.diff_payload([(100, 0), (99, 3)], [(102, 4)], 7, ids=(5, 6, 4))),
+        (3, 40, payloads.BOOK_TICKER, payloads._TICKER.pack(40, 1.5, 2.0, 1.75, 3.0, 2**64 - 1)),
+        (4, 50, event, payloads.l3_payload(1, 1, 11, 100, 5, 7)),
+        (5, 60, event, payloads.diff_payload([(1, 1)], [], 7)[:-8]),
+        (6, 70, event, b"short"),
+        (8, 80, event, payloads.diff_payload([(97, 2**63)], [], 7)),
+        (9, 90, event, payloads.diff_payload([], [], 7)),
+        (10, 95, payloads.TRADE, payloads._TRADE.pack(95, 1.5, 2.0, 3, 4, 5, True, 6)),
+    ]
+    (tmp_path / "000000000.q").write_bytes(segments.encode(0, messages))
+    log = segments.read_segments(spark, f"file://{tmp_path}")
+    levels = payloads.book_levels(log)
+    got = book_l2.replay(levels.withColumn("market_id", F.lit(7)), None, statuses=True).orderBy("seq").collect()
+    want = [(0, 99, None, None), (1, 100, 101, None), (2, 99, 101, None), (3, 99, 101, "NonBookEvent"), (4, 99, 101, "UnsupportedMode"), (5, 99, 101, "Corrupt"), (6, 99, 101, "Corrupt"), (8, 99, 101, "Corrupt"), (9, 99, 101, None), (10, 99, 101, "NonBookEvent")]
+    assert [(r["seq"], r["best_bid"], r["best_ask"], r["skipped"]) for r in got] == want
+    assert dict(zip(got[-1]["bid_prices"], got[-1]["bid_sizes"])) == {99: 3, 98: 2}
+    assert {(r["price_scale"], r["size_scale"]) for r in levels.where("seq = 1").collect()} == {(2, 3)}
+    assert [(r["update_id_first"], r["update_id_last"]) for r in levels.where("seq = 2 and level_ord = 0").collect()] == [(5, 6)]
+    (t,) = payloads.tickers(log).collect()
+    assert (t["seq"], t["timestamp_ns"], t["bid_price"], t["ask_qty"], int(t["symbol_hash"])) == (3, 40, 1.5, 3.0, 2**64 - 1)
+    (t,) = payloads.trades(log).collect()
+    assert (t["seq"], t["trade_id"], t["is_buyer_maker"], int(t["symbol_hash"])) == (10, 3, True, 6)
+    one = payloads.l3_events(log.where("seq in (3, 4)"), "skip")
+    assert [(r["kind"], r["price"], r["qty"]) for r in book_l3.final_books(one).orderBy("kind").collect()] == [("level", 100, 5), ("order", 100, 5)]
+    with pytest.raises(PySparkException, match="no L3 event: NonBookEvent"):
+        payloads.l3_events(log.where("seq = 3")).collect()
+    with pytest.raises(PySparkException, match="no L3 event: Corrupt"):
+        payloads.l3_events(log.where("seq = 6"), "skip").collect()
+    assert payloads.book_levels(log.limit(0)).count() == 0
+
+
+def test_snapshot_payload_round_trip(spark):
+    bids, asks = {100: 5, 98: 2, 97: 1}, {101: 6, 105: 1}
+    payload = payloads.snapshot_payload(bids, asks, 3)
+    assert len(payload) == snapshots.HEADER_BYTES + snapshots.COUNTS_BYTES + snapshots.LEVEL_BYTES * 5
+    rows = payloads.book_levels(spark.createDataFrame([(0, 0, 0x1000, payload)], "seq long, timestamp_ns long, type_id int, payload binary")).orderBy("level_ord").collect()
+    assert [(r["side"], r["price"], r["size"]) for r in rows] == [("B", 100, 5), ("B", 98, 2), ("B", 97, 1), ("S", 101, 6), ("S", 105, 1)]
+
+
+def test_delta_log_in_line_order(spark, tmp_path):
+    (tmp_path / "00000000000000000000.json").write_text('{"add": {"path": "a"}}\n{"add": {"path": "b"}}\n{"remove": {"path": "a"}}\n{"add": {"path": "a"}}\n')
+    (tmp_path / "00000000000000000001.json").write_text('{"remove": {"path": "b"}}\n{"add": {"path": "c"}, "remove": {"path": "c"}}\n{"add": {"path": "d"}}\n')
+    assert sorted(r["path"] for r in src.delta_files(spark, f"file://{tmp_path}").collect()) == ["a", "d"]

@@ -158,6 +158,15 @@ over_messages(
 over_messages("symbol_names", """SELECT CASE WHEN ev <> 4 THEN 'MARKET_' || market_id ELSE 'TYPE_4097' END AS symbol, count(*) AS n FROM m GROUP BY 1""",
               lambda m: m.select(lifecycle.symbol_name(F.expr("CASE WHEN ev <> 4 THEN 4096 ELSE 4097 END"), F.col("market_id")).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")))
 
+_DELTA = "SELECT lpad(CAST(o_orderkey // 100 AS VARCHAR), 20, '0') AS file, o_orderkey % 100 AS line, CASE WHEN o_custkey % 3 = 0 THEN 'remove' ELSE 'add' END AS act, 'part-' || o_custkey % 500 AS path FROM orders"
+
+
+@query("delta_active_files", f"SELECT path FROM (SELECT path, arg_max(act, file || lpad(CAST(line AS VARCHAR), 5, '0')) AS act FROM ({_DELTA}) GROUP BY path) WHERE act = 'add'")
+def _delta_active_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables(spark, sf_dir, _DELTA.replace("//", "div").replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}"), "orders")
+    return src.live_files(log.select("file", "line", F.concat(F.lit('{"'), "act", F.lit('": {"path": "'), "path", F.lit('"}}')).alias("value")))
+
+
 # ---------------------------------------------------------------- statistics
 
 over_messages(

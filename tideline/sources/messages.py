@@ -84,10 +84,16 @@ def seek_result(df: DataFrame, target: int, column: str = "timestamp_ns", order:
 
 
 def delta_files(spark: SparkSession, log_dir: str) -> DataFrame:
-    """(path) of the live files of a Delta log: the last action on each path counts; in a line, add comes before remove."""
-    lines = spark.read.schema("value string").text(log_dir, pathGlobFilter="*.json").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    """(path) of the live files of a Delta log, a folder of JSON files in the order of their names."""
+    files = spark.read.text(log_dir, wholetext=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_name").alias("file"))
+    return live_files(files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")))
+
+
+def live_files(lines: DataFrame) -> DataFrame:
+    """(path) whose last action is an add, from (file, line, value): by file, then line; in a line, add comes before remove."""
     found = lines.select("file", "line", F.get_json_object("value", "$.add.path").alias("added"), F.get_json_object("value", "$.remove.path").alias("removed"))
-    acts = found.where("added is not null").select("file", "line", F.lit(0).alias("k"), F.col("added").alias("path")).unionByName(found.where("removed is not null").select("file", "line", F.lit(1).alias("k"), F.col("removed").alias("path")))
+    act = lambda k, c: found.where(F.col(c).isNotNull()).select("file", "line", F.lit(k).alias("k"), F.col(c).alias("path"))
+    acts = act(0, "added").unionByName(act(1, "removed"))
     return acts.groupBy("path").agg(F.max_by("k", F.struct("file", "line", "k")).alias("k")).where("k = 0").select("path")
 
 
