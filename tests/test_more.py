@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pandas as pd
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import scalar
 from tideline.operators import book_l2, book_l3, features, filters, lifecycle, merge, snapshots
+from tideline.plans import replay
 from tideline.plans import table as tables
 from tideline.plans.table import Table
 from tideline.sources import messages as src
@@ -415,3 +417,75 @@ def test_delta_log_in_line_order(spark, tmp_path):
     (tmp_path / "00000000000000000000.json").write_text('{"add": {"path": "a"}}\n{"add": {"path": "b"}}\n{"remove": {"path": "a"}}\n{"add": {"path": "a"}}\n')
     (tmp_path / "00000000000000000001.json").write_text('{"remove": {"path": "b"}}\n{"add": {"path": "c"}, "remove": {"path": "c"}}\n{"add": {"path": "d"}}\n')
     assert sorted(r["path"] for r in src.delta_files(spark, f"file://{tmp_path}").collect()) == ["a", "d"]
+
+
+def test_sinks(spark, tmp_path):
+    log = spark.createDataFrame([(k, 10 * k, 1 + k % 2, bytes([k])) for k in range(10)], "seq long, timestamp_ns long, type_id int, payload binary")
+    path, run = f"file://{tmp_path}", lambda sink: replay.ReplayPipeline(log).filter_types([1]).sink(sink).run()
+    assert run(replay.parquet_sink(f"{path}/p", 2)).written == 5
+    assert spark.read.parquet(f"{path}/p").count() == 5 and len(list((tmp_path / "p").glob("*.parquet"))) >= 3
+    run(replay.csv_sink(f"{path}/c"))
+    assert {(r["seq"], r["payload_len"]) for r in spark.read.csv(f"{path}/c", header=True).collect()} == {(str(k), "1") for k in range(0, 10, 2)}
+    run(replay.queue_sink(f"{path}/q"))
+    queue = spark.read.parquet(f"{path}/q")
+    assert queue.columns == ["timestamp_ns", "type_id", "payload"] and queue.where("timestamp_ns > 1600000000000000000").count() == 5
+    assert run(replay.null_sink).written == 5
+    with pytest.raises(ValueError):
+        replay.parquet_sink(path, 0)
+
+
+def test_replay_by_symbol_flushes_at_the_end(spark):
+    log = spark.createDataFrame([(k % 3, k) for k in range(30)], "market_id long, seq long").repartition(4)
+
+    def handler(frames):
+        now, total = None, 0
+        for f in frames:
+            for m, s in f.itertuples(index=False):
+                if m != now:
+                    if now is not None:
+                        yield pd.DataFrame({"market_id": [now], "total": [total]})
+                    now, total = m, 0
+                total = total * 31 % 1000003 + s  # depends on the order
+        if now is not None:
+            yield pd.DataFrame({"market_id": [now], "total": [total]})
+
+    want = {}
+    for k in range(30):
+        want[k % 3] = want.get(k % 3, 0) * 31 % 1000003 + k
+    assert {r["market_id"]: r["total"] for r in replay.replay_by_symbol(log, handler, "market_id long, total long").collect()} == want
+
+
+def test_tables_are_created_once_and_written_by_partition(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    t = Table.create(spark, path, [("symbol", "string"), ("n", "int")])
+    with pytest.raises(PySparkException):
+        Table.create(spark, path, [("symbol", "string")])
+    rows = spark.createDataFrame([(2, 20), (1, 30)], "seq long, timestamp_ns long")
+    t.write(rows, {"symbol": "a b", "n": 1})
+    t.write(rows, {"symbol": "a b", "n": 1})
+    again = Table.open(spark, path)
+    assert again.scheme == t.scheme and [r["seq"] for r in again.reader({"symbol": "a b", "n": 1}).collect()] == [1, 1, 2, 2]
+    for values in ({"symbol": "a", "n": "1"}, {"symbol": "a"}, {"symbol": "a", "n": 1, "x": 2}):
+        with pytest.raises(ValueError):
+            t.write(rows, values)
+    with pytest.raises(ValueError):
+        t.write_rolling(rows, {"symbol": "a"})
+
+
+def test_monitoring_windows_of_a_stream(spark, tmp_path):
+    path = f"file://{tmp_path}/in"
+    spark.createDataFrame([(k * 10**9, float(k)) for k in range(20)], "timestamp_ns long, value double").coalesce(1).write.parquet(path)
+    out = stateful.monitored(stateful.read_log(spark, path, "timestamp_ns long, value double"), "10 seconds", "value", "0 seconds")
+    q = out.writeStream.format("memory").queryName("monitored").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["n"], r["quantiles"][0]) for r in spark.table("monitored").collect()) == [(10, 4.0), (10, 14.0)]
+
+
+def test_triggers_always_and_in_turn(spark):
+    df = spark.createDataFrame([(1, k, k * 50, 1 if k == 3 else 2) for k in range(8)], "market_id long, seq long, timestamp_ns long, ev int")
+    fired = lambda *t: [r["seq"] for r in features.emitted(df, "market_id", *t).orderBy("seq").collect()]
+    assert fired(features.always()) == list(range(8))
+    assert fired(features.time_bar(100)) == [1, 2, 4, 6]  # timestamp 0 never emits
+    assert fired(features.event_type(1), features.time_bar(100)) == [1, 2, 3, 4, 6]
+    assert [r["seq"] for r in snapshots.planned(df.withColumn("size", F.lit(10)), "market_id", size=25, first=False).orderBy("seq").collect()] == [2, 5]
+    assert [r["seq"] for r in snapshots.planned(df, "market_id", records=4).orderBy("seq").collect()] == [3, 7] and snapshots.planned(df, "market_id").count() == 0
