@@ -489,3 +489,30 @@ def test_triggers_always_and_in_turn(spark):
     assert fired(features.event_type(1), features.time_bar(100)) == [1, 2, 3, 4, 6]
     assert [r["seq"] for r in snapshots.planned(df.withColumn("size", F.lit(10)), "market_id", size=25, first=False).orderBy("seq").collect()] == [2, 5]
     assert [r["seq"] for r in snapshots.planned(df, "market_id", records=4).orderBy("seq").collect()] == [3, 7] and snapshots.planned(df, "market_id").count() == 0
+
+
+def test_l3_stream_in_two_batches(spark, tmp_path):
+    rng = random.Random(6)
+    names = "market_id long, ord long, event_type int, side int, flags int, order_id long, bid_order_id long, ask_order_id long, price long, qty long"
+    rows, live = [], []
+    for k in range(200):
+        kind = rng.choice([1, 1, 1, 2, 3, 4]) if live else 1
+        order = k + 1 if kind == 1 else rng.choice(live)
+        live += [order] if kind == 1 else []
+        rows.append((k % 2, k, kind, rng.choice([1, 2]), rng.choice([0, 0, 0, 1]), order, 0, 0, rng.choice([0, 100, 101, 102, 103]) if kind != 2 else 0, rng.choice([0, 1, 5])))
+    want, books = {}, {}
+    for m, k, *event in rows:
+        book = books.setdefault(m, book_l3.Book())
+        book.apply(*event[:3], *event[3:])
+        want[m, k] = book.best()
+    cut = lambda lo, hi: spark.createDataFrame(rows[lo:hi], names)
+    got = batches(spark, f"file://{tmp_path}", [cut(0, 90), cut(90, 200)], stateful.l3_quotes, "l3").collect()
+    assert {(r["market_id"], r["ord"]): (r["best_bid"], r["best_ask"]) for r in got} == want
+    final = {(r["market_id"], r["side"], r["price"]): (r["qty"], r["queue_len"]) for r in book_l3.final_books(cut(0, 200)).where("kind = 'level'").collect()}
+    assert final == {(m, s, p): (v[0], sum(v[1].values())) for m, b in books.items() for (s, p), v in b.levels.items()}
+    again = book_l3.Book().load(books[0].dump())
+    assert again.orders == books[0].orders and again.levels == books[0].levels
+    holes = spark.createDataFrame([(1, 1, 6, 0, 0, 0, 0, 0, 0, 0, 1), (1, 2, 6, 0, 0, 0, 0, 0, 0, 0, 3)], names + ", seq long")
+    assert book_l3.final_books(holes).count() == 0
+    with pytest.raises((PySparkException, Py4JJavaError), match="missing 1"):
+        book_l3.final_books(holes, gap_policy="panic").collect()

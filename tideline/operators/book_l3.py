@@ -7,12 +7,15 @@ level's total stays right; strict_fifo keeps it in.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import filters
+
 MARKET_FLAG = 1
 OUT = "market_id long, kind string, order_id long, side int, price long, qty long, queue_len int"
 
@@ -98,8 +101,27 @@ class Book:
         return [(market, "order", k, o[0], o[1], o[2], 0) for k, o in self.orders.items()] + [(market, "level", None, s, p, v[0], sum(v[1].values())) for (s, p), v in self.levels.items()]
 
 
-def final_books(events: DataFrame, unknown: str = "skip", strict_fifo: bool = False) -> DataFrame:
-    """OUT: the orders and levels of each market after all of its events."""
+    def best(self) -> tuple[int | None, int | None]:
+        """The best prices of the levels."""
+        return max((p for s, p in self.levels if s == 1), default=None), min((p for s, p in self.levels if s == 2), default=None)
+
+    def dump(self) -> str:
+        """The whole state as text, for load()."""
+        levels = [[*k, v[0], list(v[1].items())] for k, v in self.levels.items()]
+        return json.dumps([[[k, *o] for k, o in self.orders.items()], levels])
+
+    def load(self, text: str) -> Book:
+        orders, levels = json.loads(text)
+        self.orders = {k: o for k, *o in orders}
+        self.levels = {(side, price): [total, dict(queue)] for side, price, total, queue in levels}
+        return self
+
+
+def final_books(events: DataFrame, unknown: str = "skip", strict_fifo: bool = False, gap_policy: str = "ignore") -> DataFrame:
+    """OUT: the orders and levels of each market after all of its events. gap_policy panic raises where a market's seq (a further
+    column of events) is not one more than the one before; other policies apply every event."""
+    if gap_policy == "panic":
+        events = filters.apply_gap_policy(filters.gaps(events, "market_id", "ord"), "panic").where(~F.col("is_gap"))
     names = ["market_id", "event_type", "side", "flags", "order_id", "bid_order_id", "ask_order_id", "price", "qty"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

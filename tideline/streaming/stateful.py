@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.functions.scalar import path_component
 from tideline.operators.book_l2 import Book, ordered
+from tideline.operators.book_l3 import Book as OrderBook
 
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
@@ -68,6 +69,25 @@ def best_quotes(levels: DataFrame) -> DataFrame:
     return ordered(levels).groupBy("market_id").applyInPandasWithState(fold, "market_id long, seq long, best_bid long, best_ask long", shape, "append", GroupStateTimeout.NoTimeout)
 
 
+def l3_quotes(events: DataFrame, unknown: str = "skip") -> DataFrame:
+    """The best level prices of a market after each L3 event, across batches; events of a batch are taken in order of ord."""
+    names = ["event_type", "side", "flags", "order_id", "bid_order_id", "ask_order_id", "price", "qty"]
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        book = OrderBook(unknown)
+        if state.exists:
+            book.load(state.get[0])
+        rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
+        out = []
+        for ord_, *event in rows[["ord", *names]].itertuples(index=False):
+            book.apply(*map(int, event))
+            out.append((key[0], ord_, *book.best()))
+        state.update((book.dump(),))
+        yield pd.DataFrame(out, columns=["market_id", "ord", "best_bid", "best_ask"]).astype({"best_bid": "Int64", "best_ask": "Int64"})
+
+    return events.groupBy("market_id").applyInPandasWithState(fold, "market_id long, ord long, best_bid long, best_ask long", "book string", "append", GroupStateTimeout.NoTimeout)
+
+
 def time_bars(df: DataFrame, interval_ns: int, stream: str = "market_id", ts: str = "timestamp_ns", order: str = "seq") -> DataFrame:
     """The first row of each new bucket of a stream, across batches; late rows don't open old buckets again, timestamp 0 never emits."""
     names = df.columns
