@@ -40,7 +40,13 @@ def range_of(df: DataFrame, order: str, n: int | None = None) -> Column:
     kind = df.schema[order].dataType
     at = F.col(order).getField(kind.fieldNames()[0]) if isinstance(kind, StructType) else F.col(order)
     bounds = sorted({int(b) for b in df.select(at.alias("_q")).approxQuantile("_q", [i / n for i in range(1, n)], 0.5 / n)}) if n > 1 else []
-    return reduce(lambda a, b: a + b, [(at > b).cast("int") for b in bounds], F.lit(0))
+
+    def search(lo: int, hi: int) -> Column:
+        """The number of bounds below the position, known to be lo at least and hi at most."""
+        middle = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(at > bounds[middle], search(middle + 1, hi)).otherwise(search(lo, middle))
+
+    return search(0, len(bounds))
 
 
 def numbered(df: DataFrame, order: str, name: str = "_k", n: int | None = None) -> DataFrame:
