@@ -101,7 +101,7 @@ def replay(levels: DataFrame, depth: int | None = 5, key: str | None = "market_i
             return pd.DataFrame(out, columns=names).astype({"best_bid": "Int64", "best_ask": "Int64"})
 
         for b in batches:
-            for m, seq, ts, ev, side, price, size, skipped, due in b.itertuples(index=False):
+            for m, seq, ts, ev, side, price, size, skipped, due in zip(*(b[c].tolist() for c in b.columns), strict=True):
                 if event is None or (m, seq) != event[:2]:
                     close()
                     gap = event is not None and m == event[0] and seq != event[1] + 1
