@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import scalar
 from tideline.operators import book_l2, book_l3, catalog, filters, lifecycle, merge, snapshots
-from tideline.queries import COLS, HOUR, KEEP, M, over_messages, query
+from tideline.queries import COLS, HOUR, KEEP, M, ORACLE, over_messages, query
 from tideline.sources import messages as src
 
 
@@ -303,19 +303,9 @@ def _l3_life_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book_l3.final_books(rows.join(flagged, "order_id", "left_anti")).where("kind = 'level'").select("market_id", "side", "price", "qty")
 
 
-query("crc_checksums", M + "SELECT seq, " + _CRC.format(text="event_type") + " AS checksum FROM m")(
-    lambda spark, sf_dir: src.messages(spark, sf_dir).select("seq", scalar.payload_crc32(F.col("event_type")).alias("checksum")),
-)
-query(
-    "symbol_hashes",
-    (
-        "SELECT c_custkey, CAST(h AS DECIMAL(20, 0)) AS hash, CAST(xor(h // 4294967296, h % 4294967296) AS "
-        "BIGINT) AS market_id FROM (SELECT c_custkey, "
-    ) + _FNV.format(text="c_name") + " AS h FROM customer)",
-)(
-    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        "c_custkey",
-        scalar.symbol_hash("c_name").alias("hash"),
-        scalar.market_id("c_name").alias("market_id"),
-    ),
+# SQL of queries that are registered without it
+ORACLE["payload_checksum"] = M + "SELECT seq, " + _CRC.format(text="event_type") + " AS checksum FROM m"
+ORACLE["symbol_market_id"] = (
+    "SELECT c_custkey, CAST(h AS DECIMAL(20, 0)) AS hash, CAST(xor(h // 4294967296, h % 4294967296) AS BIGINT) AS market_id "
+    "FROM (SELECT c_custkey, " + _FNV.format(text="c_name") + " AS h FROM customer)"
 )
