@@ -652,6 +652,106 @@ def test_mixer_beats_the_base_score_on_held_out_documents(spark):
     assert out["s"] > 0.9 * out["b"]
 
 
+def _plain_follow(m, x, gate, near, spot, doc, bit, a, b):
+    """Logarithms of the probabilities of steps, by plain loops: m's weights and map, and what each document adds to them."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda p: math.log(p / (1 - p))
+    out, now, rank = [], None, 0
+    for i, d in enumerate(doc):
+        if d != now:
+            now, rank, own, hit, every, held, edge, wide = d, 0, collections.Counter(), collections.Counter(), collections.Counter(), [], m.block, m.block
+        if rank == edge:
+            n = collections.Counter(h[0] for h in held)
+            for cell, error, y, seen, bins in held:
+                for k, v in enumerate(y):
+                    own[k, cell] += mixer.RATE * error * min(1, mixer.BLOCK / n[cell]) * v
+                for where, much in bins:
+                    hit[where] += much * seen
+                    every[where] += much
+            held, wide = [], min(wide if rank == m.block else 2 * wide, mixer.WIDE * m.block)
+            edge += wide
+        y = [*(v[i] for v in x), 1.0]
+        z = min(max(sum((m.weights[k, gate[i]] + own[k, near[i]]) * v for k, v in enumerate(y)), -m.bound), m.bound)
+        u = (z + m.bound) * (mixer.BINS - 1) / (2 * m.bound)
+        lo = min(int(u), mixer.BINS - 2)
+        bins = [(spot[i] * mixer.BINS + lo, 1 - (u - lo)), (spot[i] * mixer.BINS + lo + 1, u - lo)]
+        final = (z + sum(much * logit((m.hit[c] + hit[c]) / (m.all[c] + every[c])) for c, much in bins)) / 2
+        if bit is None:
+            p, event = sigmoid(final) * math.exp(a[i]) + (1 - sigmoid(final)) * math.exp(b[i]), lambda q: sigmoid(q) * math.exp(a[i]) / (sigmoid(q) * math.exp(a[i]) + (1 - sigmoid(q)) * math.exp(b[i]))
+        else:
+            p, event = sigmoid(final if bit[i] else -final), lambda q: float(bit[i])
+        out.append(math.log(p))
+        held.append((near[i], event(z) - sigmoid(z), y, event(final), bins))
+        rank += 1
+    return out
+
+
+@pytest.mark.parametrize("name", ["U", "C", "A", "B"])
+def test_refined_mixers_equal_a_plain_loop(name, monkeypatch):
+    """Mixer and map, learned in training, then going on along each document; whole, and cut within a document."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    _, gates, cells, spots, _, _ = mixer.MIXERS[name]
+
+    def steps(doc):
+        n = len(doc)
+        x, gate, spot, near = rng.normal(0, 2, (3, n)), rng.integers(0, gates, n), rng.integers(0, spots, n), rng.integers(0, cells, n)
+        what = {"bit": rng.random(n) < 0.3} if name in "UB" else {"a": np.where(rng.random(n) < 0.4, -np.inf, rng.normal(-3, 2, n)), "b": rng.normal(-6, 3, n)}
+        return [x, gate, spot, doc], {"near": near if cells != gates else gate, **what}
+
+    sums = []
+    for seed in range(3):  # the tasks of a training
+        m = mixer.Model(name)
+        args, rest = steps(np.zeros(9000, np.int64))
+        m.learn(mixer.Steps(*args, **rest), np.arange(9000) % (seed + 2) > 0)
+        sums.append(m.sums())
+    model = mixer.Model.of(name, sum(sums))
+    assert np.array_equal(sum(sums), sum(reversed(sums))) and (model.weights != mixer.Model(name).weights).any() and (model.hit != mixer.Model(name).hit).any()
+    monkeypatch.setattr(mixer, "DOCS", 4)
+    args, rest = steps(np.repeat(np.arange(12), [1, 40, 300, 2, 0, 1500, 31, 32, 33, 5, 90, 700]))
+    got, _ = model.follow(mixer.Steps(*args, **rest))
+    x, gate, spot, doc = args
+    want = _plain_follow(model, x, gate, rest["near"], spot, doc, rest.get("bit"), rest.get("a"), rest.get("b"))
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_refined_spelling_is_a_distribution():
+    """Also what was learned along a document leaves the words of one byte, and the continuations of one, less than 1 together."""
+    import numpy as np
+
+    raw = [(np.arange(2 * n) % 7).astype(np.uint32) for n in mixer.CONTEXTS.values()]
+    tables, model = [(mixer.logits(t), mixer.gates(t)) for t in raw], mixer.Model("B")
+    mixer.learn_spelling([b"abc", b"abd", "\u00e9t\u00e9".encode()] * 50, raw, model)
+    model = mixer.Model.of("B", model.sums())
+    before = [b"zzz%d" % k for k in range(40)]
+    for head in (b"", b"a"):
+        p = [mixer.spell([*before, head + bytes([b])], np.zeros(41, np.int64), tables, model)[-1] for b in range(256) if b != 32]
+        assert 0 < np.exp(p).sum() < 1
+    long = mixer.spell(before, np.zeros(40, np.int64), tables, model)
+    assert long[-10:].sum() > mixer.word_scores(before[-10:], tables).sum()  # it has learned what the document looks like
+
+
+def test_mixer_learns_from_all_training_texts_and_refines(spark):
+    out = mixer.op3_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("mixed_score").alias("m")).first()
+    assert out["s"] > 0.99 * out["m"]  # logarithms: at least 1 % fewer bits
+    rng = random.Random(3)
+    prose = [" ".join(rng.choices([f"v{k}" for k in range(300)], k=200)) for _ in range(40)]
+    junk = lambda: " ".join("".join(rng.choices("0123456789abcdef", k=12)) for _ in range(60))
+    asked = [(100, junk(), False)]
+
+    def scored(texts, parts):
+        rows = [(i, t, True) for i, t in enumerate(texts)] + asked
+        frame = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(parts)
+        return {r["doc_id"]: r for r in mixer.score_documents(frame).collect()}
+
+    last = [*prose, *[junk() for _ in range(20)]]  # the kind of text asked for comes last, in whatever task
+    for parts in (1, 7):
+        with_, without = scored(last, parts)[100], scored(prose, parts)[100]
+        assert with_["refined_score"] > without["refined_score"]
+        assert with_["refined_score"] > with_["score"]
+
+
 def test_spelling_is_a_distribution():
     """The words of one byte, and the continuations of one, have probabilities that add up to less than one."""
     import numpy as np
