@@ -733,7 +733,10 @@ def test_refined_spelling_is_a_distribution():
 
 
 def test_mixer_learns_from_all_training_texts_and_refines(spark):
-    out = mixer.op3_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("mixed_score").alias("m")).first()
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    both = mixer.score_documents(whole).where("NOT train").agg(F.sum("refined_score").alias("s"), F.sum("score").alias("m")).first()
+    out = mixer.op3_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.lit(both["m"]).alias("m")).first()
+    assert out["s"] == pytest.approx(both["s"], rel=1e-3)
     assert out["s"] > 0.99 * out["m"]  # logarithms: at least 1 % fewer bits
     rng = random.Random(3)
     prose = [" ".join(rng.choices([f"v{k}" for k in range(300)], k=200)) for _ in range(40)]
