@@ -755,6 +755,46 @@ def test_mixer_learns_from_all_training_texts_and_refines(spark):
         assert with_["refined_score"] > with_["score"]
 
 
+def test_bits_of_known_words_equal_the_plain_mixer(monkeypatch):
+    """spell() has all words' bits as Model.follow has them, and learns along each document alike."""
+    import numpy as np
+
+    rng = random.Random(4)
+    distinct = [b"the", b"of", b"\n", *("".join(rng.choices("abcdefg\u00e9", k=rng.randrange(1, 30))).encode() for _ in range(60))]
+    raw = [np.zeros(2 * n, np.int64) for n in mixer.CONTEXTS.values()]
+    model = mixer.Model("B")
+    times = np.array([rng.choice([1, 1, 5, 70000]) for _ in distinct])
+    for _ in range(3):
+        mixer.learn_spelling(distinct, raw, model, times)
+    bits = mixer.Bits(distinct, mixer.joined([(mixer.logits(t), mixer.gates(t)) for t in raw]))
+    assert all(t.sum() == 3 * (bits.n * times).sum() for t in raw)  # each bit as often as its word occurs
+    tables, model = [(mixer.logits(t), mixer.gates(t)) for t in raw], mixer.Model.of("B", model.sums())
+    size = [1, 700, 3, 0, 40, 12, 200]
+    doc, of = np.repeat(np.arange(len(size)), size), np.array([rng.randrange(len(distinct)) for _ in range(sum(size))])
+    ends = np.cumsum(bits.n)
+    at = np.concatenate([np.arange(ends[w] - bits.n[w], ends[w]) for w in of])
+    s = bits.steps()
+    steps = mixer.Steps([x[at] for x in s.x[:-1]], s.gate[at], s.spot[at], np.repeat(doc, bits.n[of]), bit=s.bit[at], near=s.near[at])
+    want = mixer._word_sums(model.follow(steps)[0], bits.n[of])
+    for docs in (128, 2):
+        monkeypatch.setattr(mixer, "SPELL_DOCS", docs)
+        assert mixer.spell(distinct, doc, tables, model, of) == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
+def test_spelling_is_learned_from_words_that_repeat(spark):
+    """Training texts without a word that occurs once teach how words are spelled; and a known word has its bits beside its share."""
+    rng = random.Random(5)
+    alike, unlike = ([" ".join(" ".join([w, w]) for w in ("".join(rng.choices(letters, k=8)) for _ in range(60))) for _ in range(10)] for letters in ("01234567", "qxzjkvwy"))
+    asked = " ".join("".join(rng.choices("01234567", k=9)) for _ in range(30))
+
+    def score(texts):
+        rows = [(i, t, True) for i, t in enumerate(texts)] + [(100, asked, False)]
+        out = mixer.score_documents(spark.createDataFrame(rows, "doc_id long, text string, train boolean").coalesce(1), plain=False)
+        return out.where("doc_id = 100").first()["refined_score"]
+
+    assert score(alike) > 0.8 * score(unlike)
+
+
 def test_spelling_is_a_distribution():
     """The words of one byte, and the continuations of one, have probabilities that add up to less than one."""
     import numpy as np
