@@ -516,3 +516,37 @@ def test_l3_stream_in_two_batches(spark, tmp_path):
     assert book_l3.final_books(holes).count() == 0
     with pytest.raises((PySparkException, Py4JJavaError), match="missing 1"):
         book_l3.final_books(holes, gap_policy="panic").collect()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("unknown", ["skip", "fail"])
+def test_l3_final_books_equal_one_book_without_holding_it(spark, monkeypatch, strict, unknown):
+    """Two folds, by order and by level, equal a whole book fed event by event, also with resets, repeated adds and trades of two
+    orders; and no fold has a market's orders together."""
+    rng = random.Random(11)
+    names = "market_id long, ord long, event_type int, side int, flags int, order_id long, bid_order_id long, ask_order_id long, price long, qty long"
+    rows, books, known = [], {}, {}
+    for k in range(3000):
+        m = k % 3
+        book, live = books.setdefault(m, book_l3.Book(unknown, strict)), known.setdefault(m, [])
+        kind = 5 if k in (700, 701, 1500) else rng.choice([1, 1, 1, 2, 3, 4, 4, 6]) if live else 1
+        pick = lambda: rng.choice([x for x in live if x in book.orders] or [0]) if unknown == "fail" else rng.choice([*live[-40:], 0, 99999])  # noqa: B023, E731
+        order = rng.choice([k + 1, k + 1, k + 1, *live[-2:]]) if kind == 1 else pick()
+        bid, ask = (pick(), pick()) if kind == 4 and rng.random() < 0.5 else (0, 0)
+        if unknown == "fail" and bid == ask:
+            ask = 0
+        live += [order] if kind == 1 else []
+        event = (kind, rng.choice([0, 1, 2]), rng.choice([0, 0, 0, 1]), order, bid, ask, rng.choice([0, 100, 101, 102]), rng.choice([0, 1, 5]))
+        book.apply(*event)
+        rows.append((m, k, *event))
+    want = sorted((x for m, b in books.items() for x in b.rows(m)), key=str)
+    df = spark.createDataFrame(rows, names).repartition(7)
+    held = set()
+    assert sorted((tuple(r) for r in book_l3.final_books(df, unknown, strict).collect()), key=str) == want and len(want) > 15
+    apply = book_l3.Book.apply
+    monkeypatch.setattr(book_l3.Book, "apply", lambda self, *event: (apply(self, *event), held.add(len(self.orders)))[0])
+    fold = book_l3._by_order("skip", strict)
+    made = [(0, 0, k, k, 0, 1, 1, 1, 0, 100, 5) for k in range(1, 500)]
+    kinds = "market_id long, epoch int, order long, ord long, sub int, live int, event_type int, side int, flags int, price long, qty long"
+    changes = list(fold(iter([book_l3._batch(made, kinds)])))
+    assert sum(b.num_rows for b in changes) == 3 * 499 and max(held) == 1
