@@ -550,3 +550,21 @@ def test_l3_final_books_equal_one_book_without_holding_it(spark, monkeypatch, st
     kinds = "market_id long, epoch int, order long, ord long, sub int, live int, event_type int, side int, flags int, price long, qty long"
     changes = list(fold(iter([book_l3._batch(made, kinds)])))
     assert sum(b.num_rows for b in changes) == 3 * 499 and max(held) == 1
+
+
+def test_by_channel_deals_a_long_channel_over_tasks(spark, tmp_path):
+    df = spark.range(20_000).select((F.col("id") % 50 == 49).cast("long").alias("ChannelNo"), (F.col("id") * 7919 % 20_000).alias("ApplSeqNum"))
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(off, "false")
+    try:
+        got = src.by_channel(df).select("*", F.spark_partition_id().alias("p")).collect()
+        src.channel_sink(f"file://{tmp_path}/out")(df)
+    finally:
+        spark.conf.unset(off)
+    keys = [(r["ChannelNo"], r["ApplSeqNum"]) for r in got]
+    assert keys == sorted((r["ChannelNo"], r["ApplSeqNum"]) for r in df.collect())
+    sizes = {p: sum(r["p"] == p for r in got) for p in {r["p"] for r in got}}
+    assert len(sizes) == 4 and max(sizes.values()) < 10_000  # one channel has 19,600 of the rows
+    files = sorted((tmp_path / "out" / "ChannelNo=0").glob("part-*.csv"))
+    lines = [int(x) for f in files for x in f.read_text().split()[1:]]
+    assert len(files) > 1 and lines == sorted(lines) and len(lines) == 19_600
