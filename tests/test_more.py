@@ -1,6 +1,7 @@
 """Events of many levels, statuses, streams in batches, raw segments, stored snapshots, lifecycle runs, guards."""
 
 import random
+import re
 import zlib
 
 import pandas as pd
@@ -568,3 +569,15 @@ def test_by_channel_deals_a_long_channel_over_tasks(spark, tmp_path):
     files = sorted((tmp_path / "out" / "ChannelNo=0").glob("part-*.csv"))
     lines = [int(x) for f in files for x in f.read_text().split()[1:]]
     assert len(files) > 1 and lines == sorted(lines) and len(lines) == 19_600
+
+
+def test_l3_queries_deal_by_order_and_level_not_by_market(spark):
+    """A market is never one task: its events are dealt by order, then by level."""
+    from tideline import queries_more
+    from tideline.queries import QUERIES
+
+    assert queries_more
+    for name in ("l3_book_final", "l3_life_cycles"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(market_id#\d+L?, \d+\)", plan)
+        assert re.search(r"hashpartitioning\(market_id#\d+L?, order#\d+L?,", plan) and re.search(r"hashpartitioning\(market_id#\d+L?, side#\d+, price#\d+L?,", plan)
