@@ -781,6 +781,40 @@ def test_bits_of_known_words_equal_the_plain_mixer(monkeypatch):
         assert mixer.spell(distinct, doc, tables, model, of) == pytest.approx(want, rel=1e-3, abs=1e-3)
 
 
+def test_equal_bytes_of_a_block_are_mixed_once(monkeypatch):
+    """Bits are held once for equal bytes after equal bytes, and worked on once for each block, with what all of them would have done."""
+    import numpy as np
+
+    monkeypatch.setattr(mixer, "SPELL", 1 << 10)
+    rng = random.Random(6)
+    words = [b"\x00", b"\x00a", b"\n", *("".join(rng.choices(("ba", "na", "\u00e9t"), k=rng.randrange(1, 12))).encode() for _ in range(3000))]
+    raw = [(np.arange(2 * n) % 7).astype(np.int64) for n in mixer.CONTEXTS.values()]
+    tables = mixer.joined([(mixer.logits(t), mixer.gates(t)) for t in raw])
+    b = mixer.Bits(words, tables)
+    slots, bit, n = mixer._decisions(np.frombuffer(b" ".join(words) + b" ", np.uint8), b.starts)
+    assert (b.n == n).all() and (b.steps().bit == bit).all() and b.long.sum() < n.sum() / 20
+    # learning: all bits, in groups of words, by the plain rule
+    plain, model, lo, want = mixer.Model("B"), mixer.Model("B"), 0, []
+    while lo < len(words):
+        hi = lo + 1
+        while hi < len(words) and b.size[lo:hi].sum() < mixer.SPELL:
+            hi += 1
+        one = mixer.Bits(words[lo:hi], tables)
+        z = plain.learn(one.steps(), np.ones(one.n.sum()))
+        want.append(mixer._word_sums(-np.log1p(np.exp(np.where(one.steps().bit, -z, z))), one.n))
+        lo = hi
+    times = np.arange(len(words)) % 3 + 1
+    assert mixer.learn_spelling(words, raw, model, times) == pytest.approx(np.concatenate(want), rel=1e-3)
+    for a in ("weights", "hit", "all", "steps"):
+        assert getattr(model, a) == pytest.approx(getattr(plain, a), rel=1e-3, abs=1e-3)
+    for t, h in zip(raw, slots):
+        counted = np.bincount(((h & np.uint32(len(t) // 2 - 1)) << np.uint32(1)) | bit, np.repeat(times, n), minlength=len(t))
+        assert (t - np.arange(len(t)) % 7 == counted).all()
+    # a document: every bit belongs to one unit, and few units stand for many
+    units = mixer._doc_units(model, b, b.of, np.array([b.n.sum()]))
+    assert (units.long * units.times).sum() == b.n.sum() and units.long.sum() < b.n.sum() / 3
+
+
 def test_spelling_is_learned_from_words_that_repeat(spark):
     """Training texts without a word that occurs once teach how words are spelled; and a known word has its bits beside its share."""
     rng = random.Random(5)
