@@ -815,6 +815,52 @@ def test_equal_bytes_of_a_block_are_mixed_once(monkeypatch):
     assert (units.long * units.times).sum() == b.n.sum() and units.long.sum() < b.n.sum() / 3
 
 
+def test_no_bit_is_learned_from_that_nothing_comes_after(monkeypatch):
+    """The last block of each document is scored only; the next documents' scores stay those of Model.follow's rule."""
+    import numpy as np
+
+    words, model, learned, slopes = [b"abc", b"abd", b"b", b"\n"], mixer.Model("B"), [], mixer._slopes
+    raw = [(np.arange(2 * n) % 7).astype(np.int64) for n in mixer.CONTEXTS.values()]
+    tables = [(mixer.logits(t), mixer.gates(t)) for t in raw]
+    n = mixer.Bits(words, mixer.joined(tables)).n
+    monkeypatch.setattr(mixer, "_slopes", lambda cell, *rest: learned.append(len(cell)) or slopes(cell, *rest))
+    short, long = np.arange(8) % 4, np.arange(200) % 4
+    assert n[short].sum() < model.block < n[long].sum() < 2 * model.block + model.block * (mixer.WIDE - 1)
+    alone = mixer.spell(words, np.zeros(8, np.int64), tables, model, short)
+    assert not learned
+    both = mixer.spell(words, np.repeat([0, 1, 2], [8, 200, 8]), tables, model, np.concatenate([short, long, short]))
+    assert learned and both[:8] == pytest.approx(alone) and both[-8:] == pytest.approx(alone)
+    taught = sum(learned)
+    learned.clear()
+    mixer.spell(words, np.zeros(200, np.int64), tables, model, long)
+    assert sum(learned) == taught  # the short documents taught nothing
+
+
+def test_tables_follow_their_counts_slot_by_slot(monkeypatch):
+    """A piece brings up to date the slots that it counted, not the whole tables; they equal those made from all counts."""
+    import numpy as np
+
+    rng, made, logits = random.Random(8), [], mixer.logits
+    raw, models = [np.zeros(2 * n, np.int64) for n in mixer.CONTEXTS.values()], [mixer.Model("B"), mixer.Model("B")]
+    kept, other = mixer.joined([(mixer.logits(t), mixer.gates(t)) for t in raw]), [t.copy() for t in raw]
+    for _ in range(3):
+        text = [" ".join("".join(rng.choices("abc\u00e9", k=rng.randrange(1, 6))) for _ in range(50)).encode() for _ in range(4)]
+        piece = mixer.Piece([*text, b""])
+        at = np.flatnonzero(np.arange(len(piece.keys)) % 5 > 0)
+        words, times = piece.words(at), np.arange(len(at)) % 3 + 1
+        spelling = piece.spelling(at)
+        assert [bytes(x)[:-1] for x in np.split(spelling.text, np.cumsum(spelling.size)[:-1])] == words
+        want = mixer.learn_spelling(words, other, models[0], times)
+        monkeypatch.setattr(mixer, "logits", lambda counts: made.append(len(counts)) or logits(counts))
+        assert (mixer.learn_spelling(spelling, raw, models[1], times, kept) == want).all()
+        monkeypatch.setattr(mixer, "logits", logits)
+        for a, b, c in zip(raw, other, kept, strict=True):
+            assert (a == b).all() and (c == mixer.joined([(logits(a), mixer.gates(a))])[0]).all()
+    assert len(made) == 9 and sum(made) < sum(map(len, raw)) / 10
+    everything = piece.spelling(np.arange(len(piece.keys)))
+    assert [bytes(x)[:-1] for x in np.split(everything.text, np.cumsum(everything.size)[:-1])] == piece.words(np.arange(len(piece.keys)))
+
+
 def test_spelling_is_learned_from_words_that_repeat(spark):
     """Training texts without a word that occurs once teach how words are spelled; and a known word has its bits beside its share."""
     rng = random.Random(5)
